@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import chat, contamination, language_id, mixing, repeats, sharding
 from ._store import n_words, table
 
 
@@ -42,6 +42,13 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    more = ("covered", "longest", "n_repeats")
+    return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n in names], *[F.col(f"__{n}").alias(n) for n in more])
+
+
 def op5_shard_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     whole = F.coalesce("text", F.lit(""))
@@ -56,6 +63,19 @@ def op5_shard_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    out = contamination.contamination(docs, bench)
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
 def op9_mix_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan(docs).select(
@@ -67,8 +87,17 @@ def op9_mix_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op5_shard_histogram_sort, op9_mix_splitting_tree)}
+    ops = (op1_chat_format, op3_suffix_repetition, op5_shard_histogram_sort, op8_positional_index, op9_mix_splitting_tree, op10_bigru_language)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict:
