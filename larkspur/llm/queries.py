@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, language_id, mixing, repeats, sharding
+from . import archives, chat, contamination, language_id, licenses, mixing, repeats, sharding
 from ._store import n_words, table
 
 
@@ -42,6 +42,21 @@ FROM e GROUP BY conv_id
 """
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archives.through_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -49,6 +64,14 @@ def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n in names], *[F.col(f"__{n}").alias(n) for n in more])
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    # documents as files of a tree: source / language / hundred / document
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    path = F.concat(F.lit("/"), part("source"), F.lit("/"), part("lang"), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return licenses.scan(docs.withColumn("path", path)).select("doc_id", "path", "license", F.round("license_score", 6).alias("license_score"), "license_how", "license_dir")
+
+
 def op5_shard_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     whole = F.coalesce("text", F.lit(""))
@@ -96,9 +119,9 @@ def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_chat_format, op3_suffix_repetition, op5_shard_histogram_sort, op8_positional_index, op9_mix_splitting_tree, op10_bigru_language)
+    ops = (op1_chat_format, op2_arc_to_warc, op3_suffix_repetition, op4_license_scan, op5_shard_histogram_sort, op8_positional_index, op9_mix_splitting_tree, op10_bigru_language)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": OP1_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_arc_to_warc": OP2_SQL}
