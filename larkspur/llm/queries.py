@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, chat, contamination, language_id, licenses, mixing, repeats, sharding
+from . import archives, chat, contamination, language_id, licenses, mixing, repeats, sharding, substrings
 from ._store import n_words, table
 
 
@@ -86,6 +86,24 @@ def op5_shard_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+g AS (SELECT s.r, s.i, sha256(array_to_string(d.w[s.i : s.i + 34], ' ')) AS h FROM s JOIN d USING (r)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM hit),
+k AS (SELECT r, list(i) AS gone FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     out = contamination.contamination(docs, bench)
@@ -99,6 +117,22 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT item, least(13, len(w)) AS m, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i, w FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS t FROM q),
+sizes AS (SELECT DISTINCT m FROM win),
+g AS (SELECT r, m, unnest(range(1, len(w) - m + 2)) AS i, w FROM d, sizes WHERE len(w) >= m),
+hit AS (SELECT g.r, g.i, g.m, win.item FROM g JOIN win ON g.m = win.m AND array_to_string(g.w[g.i : g.i + g.m - 1], ' ') = win.t),
+marks AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS k FROM (SELECT DISTINCT r, i, m FROM hit)) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN marks USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def op9_mix_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.plan(docs).select(
@@ -119,9 +153,9 @@ def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_chat_format, op2_arc_to_warc, op3_suffix_repetition, op4_license_scan, op5_shard_histogram_sort, op8_positional_index, op9_mix_splitting_tree, op10_bigru_language)
+    ops = (op1_chat_format, op2_arc_to_warc, op3_suffix_repetition, op4_license_scan, op5_shard_histogram_sort, op7_de_bruijn_dedup, op8_positional_index, op9_mix_splitting_tree, op10_bigru_language)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": OP1_SQL, "op2_arc_to_warc": OP2_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_arc_to_warc": OP2_SQL, "op7_de_bruijn_dedup": OP7_SQL, "op8_positional_index": OP8_SQL}
