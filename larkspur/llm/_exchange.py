@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SENT = "bucket int, known boolean, vals binary, keys binary, at binary"
+SENT = "bucket int, known boolean, vals binary, keys binary, which binary, at binary"
 #: Entries that a task packs at once.
 CHUNK = 400_000
 
@@ -48,15 +48,24 @@ def _packed(held: list, buckets: int) -> pa.RecordBatch:
     rows = []
     # what is known here goes back by key, spread over the buckets like all else
     place = (key[several] % np.uint64(buckets)).astype(np.int64)
-    rows += _rows(place, True, None, key[several], at[several])
+    rows += _rows(place, True, None, key[several], at[several] + np.uint32(1))
     sent = ~several | first
     bucket = ((val[sent] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     # of a value known to repeat one entry is sent, twice over, with no place to answer to
-    at_sent = np.where(several[sent], np.uint32(0xFFFFFFFF), at[sent])
+    at_sent = np.where(several[sent], 0, at[sent] + np.uint32(1))
     rows += _rows(bucket, False, val[sent], key[sent], at_sent)
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "known", "vals", "keys", "at"])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "known", "vals", "keys", "which", "at"])
+
+
+def _short(x: np.ndarray) -> bytes:
+    """Two bytes a number where these do."""
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _long(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, np.uint16 if len(b) == 2 * n else np.uint32).astype(np.uint32)
 
 
 def _rows(bucket: np.ndarray, known: bool, val, key: np.ndarray, at: np.ndarray) -> list:
@@ -65,30 +74,43 @@ def _rows(bucket: np.ndarray, known: bool, val, key: np.ndarray, at: np.ndarray)
     v = val[order] if val is not None else None
     cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
     ends = np.r_[cut[1:], len(b)] if len(b) else []
-    return [(int(b[i]), known, v[i:j].tobytes() if v is not None else b"", k[i:j].tobytes(), a[i:j].astype(np.uint32).tobytes()) for i, j in zip(cut, ends, strict=True)]
+    out = []
+    for i, j in zip(cut, ends, strict=True):
+        keys, which = np.unique(k[i:j], return_inverse=True)
+        out.append((int(b[i]), known, v[i:j].tobytes() if v is not None else b"", keys.tobytes(), _short(which), _short(a[i:j])))
+    return out
+
+
+def _unpacked(table: pa.Table) -> list:
+    """known, values, keys, places (from 1; 0: of no one) of each row."""
+    out = []
+    for known, vals, keys, which, at in zip(*(table.column(c).to_pylist() for c in ("known", "vals", "keys", "which", "at")), strict=True):
+        keys = np.frombuffer(keys, np.uint64)
+        n = len(which) // (2 if len(keys) <= 1 << 16 else 4)
+        out.append((known, np.frombuffer(vals, np.uint64), keys[_long(which, n)], _long(at, n)))
+    return out
 
 
 def answer(table: pa.Table) -> pa.Table:
     """key and at (packed places) of a bucket's repeated values; a row for each key."""
     keys, ats = [], []
-    known = np.array(table.column("known").to_pylist(), bool)
-    get = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-    vals, ks, places = get("vals", np.uint64), get("keys", np.uint64), get("at", np.uint32)
-    pick = [i for i in range(len(known)) if not known[i]]
+    rows = _unpacked(table)
+    pick = [r[1:] for r in rows if not r[0]]
     if pick:
-        val, key, at = (np.concatenate([x[i] for i in pick]) for x in (vals, ks, places))
+        val, key, at = (np.concatenate(x) for x in zip(*pick, strict=True))
         order = np.lexsort((at, key, val))
         val, key, at = val[order], key[order], at[order]
         first = np.r_[True, val[1:] != val[:-1]]
         new = first | np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1])]
         group = np.cumsum(first) - 1
-        twice = np.bincount(group, weights=new + (at == 0xFFFFFFFF))[group] > 1
-        ok = twice & new & (at != 0xFFFFFFFF)
+        twice = np.bincount(group, weights=new + (at == 0))[group] > 1
+        ok = twice & new & (at > 0)
         keys.append(key[ok])
-        ats.append(at[ok])
-    for i in np.flatnonzero(known):
-        keys.append(ks[i])
-        ats.append(places[i])
+        ats.append(at[ok] - np.uint32(1))
+    for known, _, k, a in rows:
+        if known:
+            keys.append(k)
+            ats.append(a - np.uint32(1))
     key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     at = np.concatenate(ats) if ats else np.zeros(0, np.uint32)
     order = np.lexsort((at, key))
