@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, chat, contamination, language_id, licenses, mixing, repeats, sharding, substrings
+from . import archives, chat, contamination, jaccard, language_id, licenses, mixing, repeats, sharding, substrings
 from ._store import n_words, table
 
 
@@ -86,6 +86,24 @@ def op5_shard_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, hash(array_to_string(w[i : i + 4], ' ')) AS h FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.r <> b.r GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+t AS (SELECT r, r AS o FROM d UNION SELECT t.r, e.b FROM t JOIN e ON t.o = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT t.r, min(o.doc_id) AS component_id FROM t JOIN d o ON t.o = o.r GROUP BY t.r) m ON m.r = d.r
+"""
+
+
 def op7_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -153,9 +171,9 @@ def op10_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_chat_format, op2_arc_to_warc, op3_suffix_repetition, op4_license_scan, op5_shard_histogram_sort, op7_de_bruijn_dedup, op8_positional_index, op9_mix_splitting_tree, op10_bigru_language)
+    ops = (op1_chat_format, op2_arc_to_warc, op3_suffix_repetition, op4_license_scan, op5_shard_histogram_sort, op6_jaccard_join, op7_de_bruijn_dedup, op8_positional_index, op9_mix_splitting_tree, op10_bigru_language)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": OP1_SQL, "op2_arc_to_warc": OP2_SQL, "op7_de_bruijn_dedup": OP7_SQL, "op8_positional_index": OP8_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_arc_to_warc": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op7_de_bruijn_dedup": OP7_SQL, "op8_positional_index": OP8_SQL}
