@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 SENT = "bucket int, known boolean, vals binary, keys binary, which binary, at binary"
 #: Entries that a task packs at once.
-CHUNK = 400_000
+CHUNK = 250_000
 
 
 def pack(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:

@@ -91,10 +91,10 @@ def words_of(texts: pa.Array, inside: np.ndarray = SPACED, fold: bool = False) -
 def word_hashes(w: Words) -> np.ndarray:
     """A 64-bit hash of each word's bytes; it depends on nothing else."""
     out = np.zeros(len(w.start), np.uint64)
-    step = 1 << 20
+    step = 1 << 18
     i = 0
     with np.errstate(over="ignore"):
-        while i < len(w.start):  # blocks of about a megabyte stay in the cache
+        while i < len(w.start):  # small blocks stay in the cache
             j = max(i + 1, int(np.searchsorted(w.start, w.start[i] + step)))
             lo, hi = int(w.start[i]), int(w.end[j - 1])
             n = hi - lo
@@ -111,7 +111,7 @@ _TABLES: list[np.ndarray] = []
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _TABLES or len(_TABLES[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         _TABLES[:] = [_powers(_BASE, size), _powers(_INVERSE, size)]
     return _TABLES[0], _TABLES[1]
 
@@ -129,7 +129,7 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return mix(out)
 
 
-def slices(n_bytes: np.ndarray, most: int = 4 << 20):
+def slices(n_bytes: np.ndarray, most: int = 1 << 20):
     """Index ranges of texts of together about ``most`` bytes, at least one text each."""
     ends = np.cumsum(n_bytes)
     i = 0

@@ -83,7 +83,7 @@ def build_index(docs: DataFrame, terms: np.ndarray, text: str, row_id: str) -> D
     def run(batches):
         for batch in batches:
             sizes = np.diff(batch_bytes(batch.column(1))[1])
-            for i, j in slices(sizes):
+            for i, j in slices(sizes, 4 << 20):
                 ids, texts = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
                 w = words_of(texts, LOWERED, fold=True)
                 h = word_hashes(w)

@@ -75,7 +75,7 @@ def sets_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _parts(batch: pa.RecordBatch, name: str = "text"):
     col = batch.column(batch.schema.names.index(name))
-    for i, j in slices(np.diff(batch_bytes(col)[1])):
+    for i, j in slices(np.diff(batch_bytes(col)[1]), 1 << 20):
         yield batch.slice(i, j - i)
 
 

@@ -78,7 +78,7 @@ def _keys(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.names.index(name)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def _pieces(batch: pa.RecordBatch, name: str = "text", most: int = 4 << 20):
+def _pieces(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 20):
     col = batch.column(batch.schema.names.index(name))
     for i, j in slices(np.diff(batch_bytes(col)[1]), most):
         yield batch.slice(i, j - i)
