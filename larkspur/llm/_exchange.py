@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SENT = "bucket int, known boolean, vals binary, keys binary, which binary, at binary"
 #: Entries that a task packs at once.
@@ -91,8 +90,8 @@ def _unpacked(table: pa.Table) -> list:
     return out
 
 
-def answer(table: pa.Table) -> pa.Table:
-    """key and at (packed places) of a bucket's repeated values; a row for each key."""
+def answer(table: pa.Table, groups: int) -> pa.Table:
+    """Packed keys and places of a bucket's repeated values, a row for each group of keys."""
     keys, ats = [], []
     rows = _unpacked(table)
     pick = [r[1:] for r in rows if not r[0]]
@@ -113,8 +112,24 @@ def answer(table: pa.Table) -> pa.Table:
             ats.append(a - np.uint32(1))
     key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     at = np.concatenate(ats) if ats else np.zeros(0, np.uint32)
+    rows = _rows((key % np.uint64(groups)).astype(np.int64), True, None, key, at)
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.table({n: pa.array(list(cols[i]), k) for n, i, k in (("group", 0, pa.int32()), ("keys", 3, pa.binary()), ("which", 4, pa.binary()), ("at", 5, pa.binary()))})
+
+
+def gather(table: pa.Table) -> pa.Table:
+    """key and at (packed uint32 places, sorted and distinct) of each key of a group."""
+    keys, ats = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for k, which, at in zip(*(table.column(c).to_pylist() for c in ("keys", "which", "at")), strict=True):
+        k = np.frombuffer(k, np.uint64)
+        n = len(which) // (2 if len(k) <= 1 << 16 else 4)
+        keys.append(k[_long(which, n)])
+        ats.append(_long(at, n))
+    key, at = np.concatenate(keys), np.concatenate(ats)
     order = np.lexsort((at, key))
     key, at = key[order], at[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1])] if len(key) else np.zeros(0, bool)
+    key, at = key[new], at[new]
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     offsets = np.r_[cut, len(key)].astype(np.int32) * 4
     blob = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(at.tobytes())])
@@ -122,16 +137,16 @@ def answer(table: pa.Table) -> pa.Table:
 
 
 def repeated(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[tuple]], buckets: int) -> DataFrame:
-    """key (long) and at (array of packed uint32 places): where the values of entries(batch) repeat; a row for each key that has such."""
+    """key (long) and at (packed uint32 places): where the values of entries(batch) repeat; a row for each key that has such."""
 
     def run(batches):
         yield from pack((e for b in batches for e in entries(b)), buckets)
 
     sent = rows.mapInArrow(run, SENT)
-    found = sent.groupBy("bucket").applyInArrow(answer, "key long, at binary")
-    return found.groupBy("key").agg(F.collect_list("at").alias("at"))
+    found = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, buckets), "group int, keys binary, which binary, at binary")
+    return found.groupBy("group").applyInArrow(gather, "key long, at binary")
 
 
-def places(blobs: list) -> np.ndarray:
-    """The sorted distinct places of a row of repeated()."""
-    return np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in blobs]).astype(np.int64)) if blobs else np.zeros(0, np.int64)
+def places(blob: bytes | None) -> np.ndarray:
+    """The places of a row of repeated()."""
+    return np.frombuffer(blob, np.uint32).astype(np.int64) if blob else np.zeros(0, np.int64)

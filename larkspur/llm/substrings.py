@@ -132,7 +132,7 @@ def _first_pass(id_type: str):
                 flagged, packs, go_on = [], [[] for _ in range(5)], []
                 at = col("at").to_pylist()
                 for i in range(n):
-                    here = places(at[i]) if at[i] else np.zeros(0, np.int64)
+                    here = places(at[i])
                     go_on.append(len(here) > 0)
                     flagged.append(here.astype(np.uint32).tobytes() if len(here) else None)
                     for p, x in zip(packs, _edges(t, i, here) if len(here) else [None] * 5, strict=True):
