@@ -8,12 +8,15 @@ if 100 * |common| >= 80 * |union|.
    one whose own probe reaches as far.  Tokens that stand in no second probe cannot be
    among those; texts with fewer others than any partner asks for are done.
 2. Stars.  Each document is compared with the one document that leads most of its
-   tokens.  Groups of copies collapse to components with one comparison a document.
-3. Prefixes.  Tokens that only one component has are left out.  The rest are ordered,
-   rare ones first; of those, the last s - 1 can go.  Rare tokens are indexed alone.
-   Where a document's shared tokens may all be frequent, its prefix is extended by
-   one and every pair of its frequent tokens is indexed.  Two linked documents of
-   different components meet in one such key.
+   smallest tokens.  Groups of copies collapse to components with one comparison a
+   document and round.
+3. Prefixes.  Of a whole set, tokens that only one component has cannot be shared
+   across components.  A document with more than n - ceil(0.8 n) of those is done.  The
+   other tokens are ordered, rare ones first, and of those the last need - 1 go, where
+   need = ceil(0.8 n) are what any partner shares.  Rare tokens are indexed alone.
+   Where a document's shared tokens may all be frequent, its prefix is extended by one
+   and every pair of its frequent tokens is indexed.  Two linked documents of different
+   components meet in one such key.
 4. Pairs are verified on the whole sets; links give components.
 
 Nothing is capped: what is left out at any step cannot hold a link between components.
@@ -101,24 +104,73 @@ def _heads(batches):
             yield pa.RecordBatch.from_arrays([*[part.column(names.index(c)) for c in ("id", "k1", "k2")], pa.array(n)], names=["id", "k1", "k2", "n"])
 
 
-def _candidates(batches):
-    """Whole sets and repeated probe tokens of texts that may have partners."""
+def among(keys: DataFrame) -> tuple[int, bytes]:
+    """A bitmap of the lower bits of keys (column key): 16 bits a key, 8 MB at most.  It lets through all keys and few others."""
+    n = keys.count()
+    bits = min(26, max(16, (16 * n).bit_length()))
+    low = F.col("key").bitwiseAND((1 << bits) - 1)
+    words = np.zeros(1 << bits - 6, np.uint64)
+    for w, b in keys.groupBy(F.shiftright(low, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(63).cast("int"))).alias("b")).collect():
+        words[w] = np.uint64(b & (1 << 64) - 1)
+    return bits, words.tobytes()
+
+
+def hits(bitmap: tuple[int, bytes], key: np.ndarray) -> np.ndarray:
+    bits, words = bitmap
+    low = key & np.uint64((1 << bits) - 1)
+    return (np.frombuffer(words, np.uint64)[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _key(batch: pa.RecordBatch, name: str = "key") -> np.ndarray:
+    return batch.column(batch.schema.names.index(name)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _whole_sets(bitmap: tuple):
+    """Whole sets of the texts whose keys the bitmap lets through."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(hits(bitmap, _key(batch, "pick"))))
+            for part in _parts(batch):
+                val, at = sets_of(part.column(part.schema.names.index("text")))
+                sets = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(val.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.names.index("k1")), pa.array(np.diff(at)), sets], names=["key", "n", "set"])
+
+    return run
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    col = batch.column(batch.schema.names.index(name))
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.r_[0, np.cumsum(col.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+
+
+def _token_entries(batch: pa.RecordBatch):
+    """All tokens of the sets, owned by the documents' components."""
+    for i in range(0, len(batch), 500):
+        part = batch.slice(i, 500)
+        val, at = _lists(part, "set")
+        n = np.diff(at)
+        place = np.arange(len(val)) - np.repeat(at[:-1], n)
+        yield val, np.repeat(_key(part), n), place.astype(np.uint32), np.repeat(_key(part, "comp"), n)
+
+
+def _open_tokens(batches):
+    """Of documents that may have partners in other components: their tokens that such have."""
     for batch in batches:
-        names = batch.schema.names
-        for part in _parts(batch):
-            val, at = sets_of(part.column(names.index("text")))
-            n = np.diff(at)
-            keep, sets, tokens = [], [], []
-            for i, blobs in enumerate(part.column(names.index("at")).to_pylist()):
-                here = places(blobs)
-                if n[i] and len(here) >= least_shared(n[i]):
-                    keep.append(i)
-                    mine = val[at[i] : at[i + 1]].view(np.int64)
-                    sets.append(mine)
-                    tokens.append(mine[here])
-            lists = lambda x: pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(v) for v in x])].astype(np.int32), pa.array(np.concatenate(x)))
+        for i in range(0, len(batch), 500):
+            part = batch.slice(i, 500)
+            val, at = _lists(part, "set")
+            blobs = part.column(part.schema.names.index("at")).to_pylist()
+            keep, tokens = [], []
+            for k, b in enumerate(blobs):
+                here = places(b)
+                if len(here) >= need(int(at[k + 1] - at[k])):
+                    keep.append(k)
+                    tokens.append(val[at[k] + here].view(np.int64))
             if keep:
-                yield pa.RecordBatch.from_arrays([part.column(names.index("k1")).take(pa.array(keep)), pa.array(n[keep]), lists(sets), lists(tokens)], names=["key", "n", "set", "tokens"])
+                take = lambda c: part.column(part.schema.names.index(c)).take(pa.array(keep))  # noqa: B023, E731
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(v) for v in tokens])].astype(np.int32), pa.array(np.concatenate(tokens)))
+                yield pa.RecordBatch.from_arrays([take("key"), take("comp"), take("n"), lists], names=["key", "comp", "n", "tokens"])
 
 
 def _signatures(batches, rare: int):
@@ -128,7 +180,7 @@ def _signatures(batches, rare: int):
         for key, comp, n, tokens in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
             t = np.array([x["t"] for x in tokens], np.int64).view(np.uint64)
             df = np.array([x["df"] for x in tokens], np.int64)
-            out = signatures(t, df, int(least_shared(np.int64(n))), rare)
+            out = signatures(t, df, need(n), rare)
             keys += [key] * len(out)
             comps += [comp] * len(out)
             ns += [n] * len(out)
@@ -168,7 +220,14 @@ def signatures(t: np.ndarray, df: np.ndarray, least: int, rare: int) -> np.ndarr
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("set").alias(f"{c}_set"), F.pmod("key", F.lit(7)).alias(f"{c}m"))
+    bitmap = among(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(hits(bitmap, _key(batch))))
+
+    members = sets.select("key", "set").mapInArrow(run, "key long, set array<long>")
+    side = lambda c: members.select(F.col("key").alias(c), F.col("set").alias(f"{c}_set"), F.pmod("key", F.lit(7)).alias(f"{c}m"))
     keyed = pairs.select("a", "b", F.pmod("a", F.lit(7)).alias("am"), F.pmod("b", F.lit(7)).alias("bm"))
     both = keyed.join(side("a"), ["a", "am"]).join(side("b"), ["b", "bm"])
     common = F.size(F.array_intersect("a_set", "b_set"))
@@ -187,45 +246,64 @@ def _stars(tokens: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("key", "l").alias("a"), F.greatest("key", "l").alias("b")).distinct()
 
 
-def _relabelled(tokens: DataFrame, comps: DataFrame) -> DataFrame:
-    """Tokens with their documents' components; those of one component only, and documents with too few others, are left out."""
-    c = comps.select(F.col("node").alias("key"), F.col("comp").alias("c2"))
-    now = stage(tokens.join(c, "key", "left").select("t", "key", F.coalesce("c2", "comp").alias("comp"), "n"), "tokens")
-    open_ = now.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo <> hi")
-    open_ = stage(open_.select("t", F.pmod("t", F.lit(7)).alias("m"), "df"), "open")
-    left = now.withColumn("m", F.pmod("t", F.lit(7))).join(open_, ["t", "m"])
-    return left.select("t", "key", "comp", "n", "df")
+def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """rows (key, ...) with comp, the component so far."""
+    if comps is None:
+        return rows.withColumn("comp", F.col("key"))
+    c = comps.select(F.col("node").alias("key"), F.pmod("node", F.lit(7)).alias("m"), "comp")
+    out = rows.withColumn("m", F.pmod("key", F.lit(7))).join(c, ["key", "m"], "left")
+    return out.withColumn("comp", F.coalesce("comp", "key")).drop("m")
 
 
-def link(rows: DataFrame, total: int, rare: int = RARE) -> DataFrame:
-    """rows: k1 and text of each document.  node (k1) and comp (the smallest) of all texts that have a link."""
+def link(rows: DataFrame, heads: DataFrame, total: int, rare: int = RARE, turns: int = 2, lowest: int = 24) -> DataFrame:
+    """rows: id, k1, k2 and text of each document; heads: id, k1, k2, n.  node (k1) and comp (the smallest) of all texts that have a link."""
     spark = rows.sparkSession
     buckets = max(parts(spark), total >> 23)
-    told = stage(repeated(rows, _probes, buckets).select(F.col("key").alias("k1"), F.pmod("key", F.lit(7)).alias("m"), "at"), "probes")
-    found = rows.withColumn("m", F.pmod("k1", F.lit(7))).join(told, ["k1", "m"]).select("k1", "text", "at")
-    sets = stage(found.mapInArrow(_candidates, "key long, n long, set array<long>, tokens array<long>").dropDuplicates(["key"]), "sets")
-    drop(told)
-    tokens = stage(sets.select(F.explode("tokens").alias("t"), "key", F.col("key").alias("comp"), "n"), "tokens")
-    links = None
-    for turn in range(2):
-        more = stage(_verified(_stars(tokens, turn), sets), "links")
+    told = repeated(rows.select("k1", "text"), _probes, buckets).select(F.col("key").alias("k1"), (F.octet_length("at") / 4).cast("long").alias("c"))
+    told = stage(told, "probes")
+    # one row of each text stands for it
+    reps = heads.where("n > 0").groupBy("k1").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    full = (F.col("n") * 4 + 4 - (F.col("n") * 4 + 4) % 5) / 5  # need(n), as least_shared() has it
+    least = F.least(F.greatest(F.lit(2), F.floor((full + 19) / 20)), F.floor((full * 4 + 4) / 5))
+    pick = lambda i: F.xxhash64("k1", F.coalesce(F.col(i).cast("string"), F.lit("")))
+    chosen = stage(told.join(reps, "k1").where(F.col("c") >= least).select(pick("id").alias("key"), "k1", "id"), "chosen")
+    bitmap = among(chosen.select("key"))
+    sets = rows.select("k1", pick("id").alias("pick"), "text").mapInArrow(_whole_sets(bitmap), "key long, n long, set array<long>").where("n > 0")
+    twice = heads.join(chosen.select("k1", "id"), ["k1", "id"]).groupBy("k1").count().where("count > 1").limit(1).count()
+    # rows that repeat with their ids all pass; else other copies do only by chance
+    sets = stage(sets, "sets")
+    if twice or sets.select("key").distinct().count() < sets.count():
+        one = stage(sets.dropDuplicates(["key"]), "sets")
+        drop(sets)
+        sets = one
+    drop(told, chosen)
+    links = comps = None
+    low = stage(sets.select(F.explode(F.slice("set", 1, lowest)).alias("t"), "key", "n"), "tokens")
+    for turn in range(turns):
+        found = stage(_stars(_labelled(low, comps), turn), "pairs")
+        more = stage(_verified(found, sets), "links")
         links = more if links is None else links.unionByName(more)
-        new = merge(links)
-        left = stage(_relabelled(tokens, new), "tokens")
-        drop(tokens)
-        tokens = left.drop("df")
-        tokens._larkspur_path = left._larkspur_path
-    per = left.groupBy("key").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.collect_list(F.struct("t", "df")).alias("tokens"))
+        comps = merge(links)
+        drop(found)
+    drop(low)
+    owned = _labelled(sets, comps)
+    told = repeated(owned.select("key", "comp", "set"), _token_entries, buckets).withColumn("m", F.pmod("key", F.lit(7)))
+    told = stage(told, "open")
+    left = _labelled(sets, comps).withColumn("m", F.pmod("key", F.lit(7))).join(told, ["key", "m"]).select("key", "comp", "n", "set", "at")
+    left = stage(left.mapInArrow(_open_tokens, "key long, comp long, n long, tokens array<long>"), "left")
+    flat = left.select(F.explode("tokens").alias("t"), "key", "comp", "n")
+    counts = stage(flat.groupBy("t").agg(F.count("*").alias("df")).withColumn("m", F.pmod("t", F.lit(7))), "counts")
+    per = flat.withColumn("m", F.pmod("t", F.lit(7))).join(counts, ["t", "m"]).groupBy("key").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.collect_list(F.struct("t", "df")).alias("tokens"))
     sigs = stage(per.select("key", "comp", "n", "tokens").mapInArrow(lambda b: _signatures(b, rare), "sig long, key long, comp long, n long"), "signatures")
     several = sigs.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     several = stage(several.select("sig", F.pmod("sig", F.lit(7)).alias("m")), "several")
-    sigs = stage(sigs.withColumn("m", F.pmod("sig", F.lit(7))).join(several, ["sig", "m"]), "signatures")
-    x, y = sigs.alias("x"), sigs.alias("y")
+    kept = stage(sigs.withColumn("m", F.pmod("sig", F.lit(7))).join(several, ["sig", "m"]), "signatures")
+    x, y = kept.alias("x"), kept.alias("y")
     meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.m") == F.col("y.m")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
     fits = 5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")
     pairs = stage(x.join(y, meet & fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "pairs")
     links = links.unionByName(stage(_verified(pairs, sets), "links"))
-    drop(sigs, several, pairs, sets, tokens)
+    drop(told, left, counts, sigs, several, kept, pairs, sets)
     return merge(links)
 
 
@@ -242,7 +320,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     id_type = docs.schema[row_id].dataType.simpleString()
     heads = stage(rows.mapInArrow(_heads, f"id {id_type}, k1 long, k2 long, n long"), "heads")
     total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 6
-    nodes = link(rows.select("k1", "text"), int(total), rare)
+    nodes = link(rows, heads, int(total), rare)
     texts = heads.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"))
     labelled = stage(texts.join(nodes.select(F.col("node").alias("k1"), "comp"), "k1", "left").select("k1", "k2", "least", F.coalesce("comp", "k1").alias("comp")), "labels")
     groups = stage(labelled.groupBy("comp").agg(F.min("least").alias("component_id")), "groups")
