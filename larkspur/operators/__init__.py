@@ -1,0 +1 @@
+"""Operators of the dialect on plain DataFrames, for code that does not go through SQL."""

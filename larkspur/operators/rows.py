@@ -1,0 +1,37 @@
+"""Row operators whose result depends on an order of rows, and set-based merges."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.columns import fold
+
+
+def stable_sort(df: DataFrame, keys: list[Column], rowid: str) -> DataFrame:
+    """Ties keep the order of row ids."""
+    return df.orderBy(*keys, F.col(rowid))
+
+
+def top_n(df: DataFrame, keys: list[Column], rowid: str, limit: int, offset: int = 0) -> DataFrame:
+    """A bounded heap in each task (TakeOrderedAndProject)."""
+    out = stable_sort(df, keys, rowid)
+    return (out.offset(offset) if offset else out).limit(limit)
+
+
+def distinct_first(df: DataFrame, columns: list[str], rowid: str, nocase: tuple = ()) -> DataFrame:
+    """The first row of each combination; columns in nocase compare without ASCII case."""
+    keys = [fold(F.col(c)) if c in nocase else F.col(c) for c in columns]
+    first = F.min_by(F.struct(*columns), F.col(rowid)).alias("w")
+    return df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(first).select("w.*")
+
+
+def upsert(base: DataFrame, new: DataFrame, key: str, update: dict[str, Column]) -> DataFrame:
+    """base with new merged in by key; update gives columns from b.* (the row there) and n.* (the new one).  Of new rows with one key the last in column __n counts."""
+    last = new.withColumn("__at", F.row_number().over(W.partitionBy(key).orderBy(F.desc("__n")))).where("__at = 1").drop("__at", "__n") if "__n" in new.columns else new
+    b, n = base.alias("b"), last.alias("n")
+    both = b.join(n, F.col(f"b.{key}") == F.col(f"n.{key}"), "full_outer")
+    met = F.col(f"b.{key}").isNotNull() & F.col(f"n.{key}").isNotNull()
+    cols = [F.when(met, update.get(c, F.col(f"b.{c}"))).otherwise(F.coalesce(f"b.{c}", f"n.{c}")).alias(c) for c in base.columns]
+    return both.select(*cols)

@@ -1,0 +1 @@
+"""Looking at physical plans: what reaches the scan, and what is exchanged."""
