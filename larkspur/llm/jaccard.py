@@ -173,27 +173,30 @@ def _open_tokens(batches):
                 yield pa.RecordBatch.from_arrays([take("key"), take("comp"), take("n"), lists], names=["key", "comp", "n", "tokens"])
 
 
-def _signatures(batches, rare: int):
-    """Index keys of each document: tokens (t, df) in, hashes out."""
+def _signatures(batches, rare: int, most: int = 100_000):
+    """Index keys of each document: lists of tokens and of their document frequencies in, hashes out."""
     for batch in batches:
-        keys, comps, ns, sigs = [], [], [], []
-        for key, comp, n, tokens in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            t = np.array([x["t"] for x in tokens], np.int64).view(np.uint64)
-            df = np.array([x["df"] for x in tokens], np.int64)
-            out = signatures(t, df, need(n), rare)
-            keys += [key] * len(out)
-            comps += [comp] * len(out)
-            ns += [n] * len(out)
-            sigs.append(out)
-            if len(keys) > 200_000:
-                yield _sig_batch(keys, comps, ns, sigs)
-                keys, comps, ns, sigs = [], [], [], []
-        if keys:
-            yield _sig_batch(keys, comps, ns, sigs)
-
-
-def _sig_batch(keys, comps, ns, sigs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(keys, pa.int64()), pa.array(comps, pa.int64()), pa.array(ns, pa.int64())], names=["sig", "key", "comp", "n"])
+        token, at = _lists(batch, "tokens")
+        df, _ = _lists(batch, "dfs")
+        key, comp, n = (_key(batch, c) for c in ("key", "comp", "n"))
+        held, owner = [], []
+        for i in range(len(batch)):
+            span = slice(at[i], at[i + 1])
+            out = signatures(token[span], df[span].view(np.int64), int(need(int(n[i]))), rare)
+            for j in range(0, len(out), most):  # a long document's keys go in pieces
+                held.append(out[j : j + most])
+                owner.append(np.full(len(held[-1]), i))
+                if sum(map(len, held)) >= most:
+                    yield _sig_batch(held, owner, key, comp, n)
+                    held, owner = [], []
+        if held:
+            yield _sig_batch(held, owner, key, comp, n)
+
+
+def _sig_batch(held: list, owner: list, key: np.ndarray, comp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    o = np.concatenate(owner)
+    cols = [np.concatenate(held), key[o], comp[o], n[o]]
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names=["sig", "key", "comp", "n"])
 
 
 def signatures(t: np.ndarray, df: np.ndarray, least: int, rare: int) -> np.ndarray:
@@ -293,8 +296,8 @@ def link(rows: DataFrame, heads: DataFrame, total: int, rare: int = RARE, turns:
     left = stage(left.mapInArrow(_open_tokens, "key long, comp long, n long, tokens array<long>"), "left")
     flat = left.select(F.explode("tokens").alias("t"), "key", "comp", "n")
     counts = stage(flat.groupBy("t").agg(F.count("*").alias("df")).withColumn("m", F.pmod("t", F.lit(7))), "counts")
-    per = flat.withColumn("m", F.pmod("t", F.lit(7))).join(counts, ["t", "m"]).groupBy("key").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.collect_list(F.struct("t", "df")).alias("tokens"))
-    sigs = stage(per.select("key", "comp", "n", "tokens").mapInArrow(lambda b: _signatures(b, rare), "sig long, key long, comp long, n long"), "signatures")
+    per = flat.withColumn("m", F.pmod("t", F.lit(7))).join(counts, ["t", "m"]).groupBy("key").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.collect_list(F.struct("t", "df")).alias("p"))
+    sigs = stage(per.select("key", "comp", "n", F.col("p.t").alias("tokens"), F.col("p.df").alias("dfs")).mapInArrow(lambda b: _signatures(b, rare), "sig long, key long, comp long, n long"), "signatures")
     several = sigs.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     several = stage(several.select("sig", F.pmod("sig", F.lit(7)).alias("m")), "several")
     kept = stage(sigs.withColumn("m", F.pmod("sig", F.lit(7))).join(several, ["sig", "m"]), "signatures")
