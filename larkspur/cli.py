@@ -26,7 +26,7 @@ def main(argv: list | None = None, spark: SparkSession | None = None, out=None)
     from .sources.sqlite import import_sqlite
 
     spark = spark or SparkSession.builder.appName("larkspur").getOrCreate()
-    say = lambda *x: print(*x, file=out)
+    say = lambda *x, sep=" ": print(*x, sep=sep, file=out)
     try:
         if a.verb in ("put", "get", "delete", "scan"):
             kv = KeyValue(spark, f"{a.root}/kv")

@@ -7,6 +7,7 @@ leave the JVM, as Arrow UDFs.
 from __future__ import annotations
 
 import re
+import warnings
 
 import pandas as pd
 from pyspark.sql import Column
@@ -70,7 +71,9 @@ def _real_text(c: Column) -> Column:
 
 def _udf(f, returns: str):
     f.__annotations__ = {}
-    return F.pandas_udf(f, returns, F.PandasUDFType.SCALAR)
+    with warnings.catch_warnings():  # a function of any number of columns has no type hints
+        warnings.simplefilter("ignore")
+        return F.pandas_udf(f, returns, F.PandasUDFType.SCALAR)
 
 
 def real_text(c: Column) -> Column:
@@ -114,6 +117,15 @@ def simple_path(p: str) -> bool:
     return _SIMPLE.fullmatch(p) is not None
 
 
+def _json_real(word: Column) -> Column:
+    """A double as Spark writes it, with its exponent as the dialect writes it; without one up to 15 digits."""
+    x = word.try_cast("double")
+    small = (F.abs(x) >= 1e-4) & (F.abs(x) < 1e15)
+    plain = F.regexp_replace(F.when(small, x).cast("decimal(38,18)").cast("string"), "(\\.\\d+?)0+$", "$1")
+    power = F.regexp_replace(F.regexp_replace(word, "E(\\d)", "e+$1"), "E-", "e-")
+    return F.when(~word.contains("E"), word).when(small, plain).otherwise(F.regexp_replace(power, "e([+-])(\\d)$", "e$10$2"))
+
+
 def json_parts(doc: Column, p: str) -> tuple[Column, Column, Column]:
     """Text, number (null unless it is one) and whether it is a text, of what a simple path leads to."""
     found = F.try_variant_get(F.parse_json(doc), p, "variant")
@@ -123,7 +135,7 @@ def json_parts(doc: Column, p: str) -> tuple[Column, Column, Column]:
     is_bool, is_text = kind == "BOOLEAN", kind == "STRING"
     real = kind.startswith("DOUBLE") | kind.startswith("FLOAT")
     flag = F.when(word == "true", "1").otherwise("0")
-    text = F.when(kind == "VOID", F.lit(None)).when(is_bool, flag).when(nested, F.get_json_object(doc, p)).when(real, real_text(F.try_variant_get(F.parse_json(doc), p, "double"))).otherwise(word)
+    text = F.when(kind == "VOID", F.lit(None)).when(is_bool, flag).when(nested, F.get_json_object(doc, p)).when(real, _json_real(word)).otherwise(word)
     number = F.when(is_text | nested | (kind == "VOID"), F.lit(None)).when(is_bool, flag.cast("double")).otherwise(word.try_cast("double"))
     return text, number, is_text | nested
 
