@@ -13,10 +13,9 @@ if 100 * |common| >= 80 * |union|.
 3. Prefixes.  Of a whole set, tokens that only one component has cannot be shared
    across components.  A document with more than n - ceil(0.8 n) of those is done.  The
    other tokens are ordered, rare ones first, and of those the last need - 1 go, where
-   need = ceil(0.8 n) are what any partner shares.  Rare tokens are indexed alone.
-   Where a document's shared tokens may all be frequent, its prefix is extended by one
-   and every pair of its frequent tokens is indexed.  Two linked documents of different
-   components meet in one such key.
+   need = ceil(0.8 n) are what any partner shares.  Rare tokens are indexed alone.  For
+   frequent ones the prefix is extended by one, and their pairs are indexed.  Two linked
+   documents of different components meet in the key of their first shared tokens.
 4. Pairs are verified on the whole sets; links give components.
 
 Nothing is capped: what is left out at any step cannot hold a link between components.
@@ -24,6 +23,8 @@ Nothing is capped: what is left out at any step cannot hold a link between compo
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +38,10 @@ from .components import merge
 GRAM = 5
 #: Documents that share a token up to which it counts as rare.
 RARE = 24
+#: Up to so many, frequent tokens are indexed in pairs.
+COMMON = 256
+#: Rounds of stars.
+TURNS = 2
 
 
 def need(n):
@@ -173,52 +178,86 @@ def _open_tokens(batches):
                 yield pa.RecordBatch.from_arrays([take("key"), take("comp"), take("n"), lists], names=["key", "comp", "n", "tokens"])
 
 
-def _signatures(batches, rare: int, most: int = 100_000):
-    """Index keys of each document: lists of tokens and of their document frequencies in, hashes out."""
+def _signatures(batches, rare: int, common: int, most: int = 20_000):
+    """Index rows of each document: lists of tokens and of their document frequencies in."""
     for batch in batches:
         token, at = _lists(batch, "tokens")
         df, _ = _lists(batch, "dfs")
         key, comp, n = (_key(batch, c) for c in ("key", "comp", "n"))
-        held, owner = [], []
+        prefixes, rows, size = [], [], 0
+        owner: list = []
         for i in range(len(batch)):
             span = slice(at[i], at[i + 1])
-            out = signatures(token[span], df[span].view(np.int64), int(need(int(n[i]))), rare)
-            for j in range(0, len(out), most):  # a long document's keys go in pieces
-                held.append(out[j : j + most])
-                owner.append(np.full(len(held[-1]), i))
-                if sum(map(len, held)) >= most:
-                    yield _sig_batch(held, owner, key, comp, n)
-                    held, owner = [], []
-        if held:
-            yield _sig_batch(held, owner, key, comp, n)
-
-
-def _sig_batch(held: list, owner: list, key: np.ndarray, comp: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    o = np.concatenate(owner)
-    cols = [np.concatenate(held), key[o], comp[o], n[o]]
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names=["sig", "key", "comp", "n"])
+            prefix, t1, t2 = signatures(token[span], df[span].view(np.int64), int(need(int(n[i]))), rare, common)
+            for j in range(0, len(t1), most):  # a long document's rows go in pieces
+                rows.append((t1[j : j + most], t2[j : j + most], np.full(len(t1[j : j + most]), len(prefixes))))
+                owner.append(i)
+                prefixes.append(prefix)
+                size += len(rows[-1][0]) * (len(prefix) + 8)
+                if size > 500_000:
+                    yield _sig_batch(prefixes, rows, owner, key, comp, n, at)
+                    prefixes, rows, owner, size = [], [], [], 0
+        if rows:
+            yield _sig_batch(prefixes, rows, owner, key, comp, n, at)
+
+
+def _sig_batch(prefixes: list, rows: list, owner: list, key: np.ndarray, comp: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    t1, t2, which = (np.concatenate(x) for x in zip(*rows, strict=True))
+    lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32), pa.array(np.concatenate(prefixes).view(np.int64)))
+    o = np.array(owner)[which]
+    with np.errstate(over="ignore"):
+        sig = np.where(t2 == 0, t1, mix(t1 * np.uint64(3) + mix(t2)))
+    cols = [sig.view(np.int64), t1.view(np.int64), t2.view(np.int64), key[o].view(np.int64), comp[o].view(np.int64), n[o].view(np.int64), np.diff(at)[o]]
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), lists.take(pa.array(which))], names=["sig", "t1", "t2", "key", "comp", "n", "open", "prefix"])
 
 
-def signatures(t: np.ndarray, df: np.ndarray, least: int, rare: int) -> np.ndarray:
+def signatures(t: np.ndarray, df: np.ndarray, least: int, rare: int, common: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """t: tokens that may be shared, of which a partner shares at least ``least``.
 
-    In the order of (df, t) the first shared token is not among the last least - 1,
-    the second not among the last least - 2.  If the first is rare, it is the key that
-    both have; if not, the first two are a pair of frequent tokens that both have.
+    The prefix in the order of (df, t), and the index keys: t1 alone (t2 = 0) or a pair.
+    The first shared token is not among the last least - 1, the second not among the
+    last least - 2: both are in the prefixes of both documents.  A first token that is
+    rare stands alone.  A frequent one makes a pair with the second.  Tokens that more
+    than ``common`` documents have stand in the same documents as their neighbours do,
+    so pairs of them would narrow nothing down: they stand alone too.
     """
+    zero = np.zeros(0, np.uint64)
     if len(t) < least:
-        return t[:0]
+        return zero, zero, zero
     order = np.lexsort((t, df))
-    t, frequent = t[order], df[order] > rare
-    alone = t[: len(t) - least + 1]
+    t, df = t[order], df[order]
     if least < 2:
-        return alone
-    single = alone[~frequent[: len(alone)]]
-    pairs = t[: len(t) - least + 2][frequent[: len(t) - least + 2]]
-    i, j = np.triu_indices(len(pairs), 1)
-    with np.errstate(over="ignore"):
-        both = mix(pairs[i] * np.uint64(3) + mix(pairs[j]))
-    return np.concatenate([single, both])
+        return t, t, np.zeros(len(t), np.uint64)
+    prefix = t[: len(t) - least + 2]
+    first = len(prefix) - 1
+    paired = (df[:first] > rare) & (df[:first] <= common)
+    single = prefix[:first][~paired]
+    i = np.flatnonzero(paired)
+    many = len(prefix) - 1 - i
+    a = np.repeat(i, many)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
+    return prefix, np.concatenate([single, prefix[a]]), np.concatenate([np.zeros(len(single), np.uint64), prefix[b]])
+
+
+def _meetings(sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that meet in an index key, once each: in the key of their first shared tokens.
+
+    Of two prefixes one ends first in the order of tokens; what its document shares stands
+    in both prefixes or in its own rest.  Pairs that cannot reach the threshold with the
+    tokens that their prefixes share and the longer rest are left out.
+    """
+    x, y = sigs.alias("x"), sigs.alias("y")
+    col = F.col
+    meet = (col("x.sig") == col("y.sig")) & (col("x.m") == col("y.m")) & (col("x.key") < col("y.key")) & (col("x.comp") != col("y.comp"))
+    fits = 5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")
+    rest = F.greatest(col("x.open") - F.size("x.prefix"), col("y.open") - F.size("y.prefix"))
+
+    def first(c):
+        here = (F.get(c, F.lit(0)) == col("x.t1")) & ((col("x.t2") == 0) | (F.get(c, F.lit(1)) == col("x.t2")))
+        return here & (180 * (F.size(c) + rest) >= 80 * (col("x.n") + col("y.n")))
+
+    shared = F.exists(F.array(F.array_intersect("x.prefix", "y.prefix")), first)
+    return x.join(y, meet & fits & shared).select(col("x.key").alias("a"), col("y.key").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -240,7 +279,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _stars(tokens: DataFrame, turn: int) -> DataFrame:
     """For each document the leader of most of its tokens, if that is of another component and a possible partner."""
-    rank = F.xxhash64("key", F.lit(turn))
+    # documents whose tokens many others have come first: an original leads its copies
+    rank = F.struct(-F.col("mean"), F.xxhash64("key", F.lit(turn)))
     lead = tokens.groupBy("t").agg(F.min_by(F.struct("key", "comp", "n"), rank).alias("lead"), F.count("*").alias("c")).where("c > 1")
     lead = stage(lead.select("t", F.pmod("t", F.lit(7)).alias("m"), "lead"), "leaders")
     met = tokens.withColumn("m", F.pmod("t", F.lit(7))).join(lead, ["t", "m"])
@@ -258,7 +298,7 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return out.withColumn("comp", F.coalesce("comp", "key")).drop("m")
 
 
-def link(rows: DataFrame, heads: DataFrame, total: int, rare: int = RARE, turns: int = 2, lowest: int = 24) -> DataFrame:
+def link(rows: DataFrame, heads: DataFrame, total: int, rare: int = RARE, common: int = COMMON, turns: int = TURNS, lowest: int = 64) -> DataFrame:
     """rows: id, k1, k2 and text of each document; heads: id, k1, k2, n.  node (k1) and comp (the smallest) of all texts that have a link."""
     spark = rows.sparkSession
     buckets = max(parts(spark), total >> 23)
@@ -280,15 +320,18 @@ def link(rows: DataFrame, heads: DataFrame, total: int, rare: int = RARE, turns:
         drop(sets)
         sets = one
     drop(told, chosen)
-    links = comps = None
-    low = stage(sets.select(F.explode(F.slice("set", 1, lowest)).alias("t"), "key", "n"), "tokens")
+    links, comps = [], None
+    low = sets.select(F.explode(F.slice("set", 1, lowest)).alias("t"), "key", "n")
+    shared = stage(low.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t", F.pmod("t", F.lit(7)).alias("m"), "c"), "shared")
+    low = stage(low.withColumn("m", F.pmod("t", F.lit(7))).join(shared, ["t", "m"]).drop("m"), "tokens")
+    mean = stage(low.groupBy("key").agg((F.sum("c") / F.least(F.first("n"), F.lit(lowest))).alias("mean")).select("key", "mean"), "means")
+    drop(shared)
     for turn in range(turns):
-        found = stage(_stars(_labelled(low, comps), turn), "pairs")
-        more = stage(_verified(found, sets), "links")
-        links = more if links is None else links.unionByName(more)
-        comps = merge(links)
+        found = stage(_stars(_labelled(low.join(mean, "key"), comps), turn), "pairs")
+        links.append(stage(_verified(found, sets), "links"))
+        comps = merge(reduce(DataFrame.unionByName, links))
         drop(found)
-    drop(low)
+    drop(low, mean)
     owned = _labelled(sets, comps)
     told = repeated(owned.select("key", "comp", "set"), _token_entries, buckets).withColumn("m", F.pmod("key", F.lit(7)))
     told = stage(told, "open")
@@ -297,20 +340,18 @@ def link(rows: DataFrame, heads: DataFrame, total: int, rare: int = RARE, turns:
     flat = left.select(F.explode("tokens").alias("t"), "key", "comp", "n")
     counts = stage(flat.groupBy("t").agg(F.count("*").alias("df")).withColumn("m", F.pmod("t", F.lit(7))), "counts")
     per = flat.withColumn("m", F.pmod("t", F.lit(7))).join(counts, ["t", "m"]).groupBy("key").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.collect_list(F.struct("t", "df")).alias("p"))
-    sigs = stage(per.select("key", "comp", "n", F.col("p.t").alias("tokens"), F.col("p.df").alias("dfs")).mapInArrow(lambda b: _signatures(b, rare), "sig long, key long, comp long, n long"), "signatures")
+    schema = "sig long, t1 long, t2 long, key long, comp long, n long, open long, prefix array<long>"
+    sigs = stage(per.select("key", "comp", "n", F.col("p.t").alias("tokens"), F.col("p.df").alias("dfs")).mapInArrow(lambda b: _signatures(b, rare, common), schema), "signatures")
     several = sigs.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     several = stage(several.select("sig", F.pmod("sig", F.lit(7)).alias("m")), "several")
     kept = stage(sigs.withColumn("m", F.pmod("sig", F.lit(7))).join(several, ["sig", "m"]), "signatures")
-    x, y = kept.alias("x"), kept.alias("y")
-    meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.m") == F.col("y.m")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
-    fits = 5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")
-    pairs = stage(x.join(y, meet & fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "pairs")
-    links = links.unionByName(stage(_verified(pairs, sets), "links"))
+    pairs = stage(_meetings(kept), "pairs")
+    links.append(stage(_verified(pairs, sets), "links"))
     drop(told, left, counts, sigs, several, kept, pairs, sets)
-    return merge(links)
+    return merge(reduce(DataFrame.unionByName, links))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", rare: int = RARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", rare: int = RARE, common: int = COMMON, turns: int = TURNS) -> DataFrame:
     """One row per row of docs: id, k1 and k2 (hashes of the text), n_shingles, component_id (the smallest id reachable by links).
 
     A null text is empty; a text without words has an empty set, is linked with nothing
@@ -323,7 +364,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     id_type = docs.schema[row_id].dataType.simpleString()
     heads = stage(rows.mapInArrow(_heads, f"id {id_type}, k1 long, k2 long, n long"), "heads")
     total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 6
-    nodes = link(rows, heads, int(total), rare)
+    nodes = link(rows, heads, int(total), rare, common, turns)
     texts = heads.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"))
     labelled = stage(texts.join(nodes.select(F.col("node").alias("k1"), "comp"), "k1", "left").select("k1", "k2", "least", F.coalesce("comp", "k1").alias("comp")), "labels")
     groups = stage(labelled.groupBy("comp").agg(F.min("least").alias("component_id")), "groups")
