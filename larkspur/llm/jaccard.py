@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import places, repeated
-from ._store import drop, parts, stage
+from ._store import drop, parts, small_batches, stage
 from ._words import batch_bytes, gram_hashes, mix, slices, word_hashes, words_of
 from .components import merge
 
@@ -362,9 +362,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(row_id).alias("id"), whole.alias("text"), F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(1), whole).alias("k2"))
     id_type = docs.schema[row_id].dataType.simpleString()
-    heads = stage(rows.mapInArrow(_heads, f"id {id_type}, k1 long, k2 long, n long"), "heads")
-    total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 6
-    nodes = link(rows, heads, int(total), rare, common, turns)
+    with small_batches(docs.sparkSession):
+        heads = stage(rows.mapInArrow(_heads, f"id {id_type}, k1 long, k2 long, n long"), "heads")
+        total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 6
+        nodes = link(rows, heads, int(total), rare, common, turns)
     texts = heads.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"))
     labelled = stage(texts.join(nodes.select(F.col("node").alias("k1"), "comp"), "k1", "left").select("k1", "k2", "least", F.coalesce("comp", "k1").alias("comp")), "labels")
     groups = stage(labelled.groupBy("comp").agg(F.min("least").alias("component_id")), "groups")

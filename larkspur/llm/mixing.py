@@ -153,7 +153,8 @@ def _ends(keys: DataFrame, table: DataFrame, seed: int, most_rows: int = 4096) -
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents: rows of docs, each as often as it is taken, spread over the output shards and shuffled inside each."""
     p = plan(docs, **how)
-    out = p.where("__copies > 0").select(*docs.columns, F.explode("__shards").alias("__shard"), "__size")
+    names = [c for c in docs.columns if c not in ("__size", "__source_size", "__target", "__copies", "__shards")]
+    out = p.where("__copies > 0").select(*names, F.explode("__shards").alias("__shard"))
     order = F.xxhash64(F.col("__shard"), *[F.col(c).cast("string") for c in (how.get("row_id", "doc_id"),)], F.lit(how.get("seed", 17)))
     spread = F.pmod(order, F.lit(64))
-    return out.repartition("__shard", spread).sortWithinPartitions("__shard", order).select(*docs.columns)
+    return out.repartition("__shard", spread).sortWithinPartitions("__shard", order).select(*names)

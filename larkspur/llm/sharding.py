@@ -74,7 +74,7 @@ def _plan(keys: DataFrame, shards: int, tolerance: float) -> tuple[list, list]:
             used[s] += take
             runs.append((take, s))
             left -= take
-        big.append((g["__h"], _row_cuts(runs, g["b"])))
+        big.append((g["__h"], _row_cuts(keys, g["__h"], runs, slack)))
     small = keys.join(F.broadcast(keys.sparkSession.createDataFrame([(h,) for h, _ in big], "__h long")), "__h", "left_anti") if big else keys
     rest = total - sum(g["b"] for g in groups)
     quota = [max(0.0, share - u) for u in used]
@@ -86,13 +86,16 @@ def _plan(keys: DataFrame, shards: int, tolerance: float) -> tuple[list, list]:
     return big, _splitters(small, goals, slack)
 
 
-def _row_cuts(runs: list, whole: float) -> list:
-    """The rows of a group are spread by their hash; ranges of it in proportion to what each shard takes."""
-    out, below = [], 0.0
-    for take, s in runs:
-        out.append((int(-(1 << 63) + (1 << 64) * (below / whole)) if below else -(1 << 63), s))
+def _row_cuts(keys: DataFrame, h: int, runs: list, slack: int) -> list:
+    """Which rows of a group each shard takes: ranges of the rows' hashes, with exact bytes below their bounds.  Few groups are split: each fills a shard."""
+    if len(runs) == 1:
+        return [(-(1 << 63), runs[0][1])]
+    goals, below = [], 0.0
+    for take, _ in runs[:-1]:
         below += take
-    return out
+        goals.append(below)
+    cuts = _splitters(keys.where(F.col("__h") == F.lit(h)).select(F.col("__r").alias("__h"), "__size"), goals, slack)
+    return list(zip([-(1 << 63), *[min(c, (1 << 64) - 1) - (1 << 63) for c in cuts]], [s for _, s in runs], strict=True))
 
 
 def _splitters(keys: DataFrame, goals: list, slack: float) -> list:

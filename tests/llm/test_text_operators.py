@@ -182,14 +182,14 @@ def shingles(t):
 def test_near_duplicates(spark, seed, rare, common, turns):
     rng = random.Random(seed)
     rnd = lambda n: [f"w{rng.randrange(200)}" for _ in range(n)]
-    common = rnd(60)
+    often = rnd(60)
     rows = [(0, None), (1, ""), (2, "a"), (3, "A"), (4, "x y"), (5, "x y z"), (6, "x Y z"), (6, "x Y z"), (None, "x Y z"), (7, "")]
-    base = [rnd(rng.choice([3, 6, 20, 60, 150])) + (common if rng.random() < 0.5 else []) for _ in range(15)]
+    base = [rnd(rng.choice([3, 6, 20, 60, 150])) + (often if rng.random() < 0.5 else []) for _ in range(15)]
     for i in range(10, 200):
         t = list(rng.choice(base))
         for _ in range(rng.choice([0, 0, 1, 2, 3, 6])):
             t[rng.randrange(len(t))] = f"e{rng.randrange(20)}"
-        rows.append((i, " ".join(t + (common[: rng.randrange(60)] if rng.random() < 0.2 else []))))
+        rows.append((i, " ".join(t + (often[: rng.randrange(60)] if rng.random() < 0.2 else []))))
     sets = [shingles(t) for _, t in rows]
     up = list(range(len(rows)))
 
@@ -244,12 +244,12 @@ def test_archives(spark, tmp_path):
 
 
 def test_arc_versions():
-    v1 = b"filedesc://f 0.0.0.0 20200102030405 text/plain 76\n" + (b"1 0 larkspur\n" + " ".join(archives.FIELDS[1]).encode() + b"\n")[:76]
-    v1 = b"filedesc://f 0.0.0.0 20200102030405 text/plain %d\n" % len(b := b"1 0 larkspur\n" + " ".join(archives.FIELDS[1]).encode() + b"\n") + b
-    v2 = b"filedesc://g 0.0.0.0 20200102030405 text/plain 200 - - 0 - %d\n" % len(c := b"2 0 larkspur\n" + " ".join(archives.FIELDS[2]).encode() + b"\n") + c
-    data = v1 + b"\nhttp://x 1.2.3.4 20200102030405 text/html 5\nab\n\ncd\n"[:-1] + b"\n" + v2 + b"\nhttp://y 1.2.3.4 20200102030405 text/html 404 - - 0 f 0\n\n"
+    told = {v: b"%d 0 larkspur\n" % v + " ".join(archives.FIELDS[v]).encode() + b"\n" for v in (1, 2)}
+    v1 = b"filedesc://f 0.0.0.0 20200102030405 text/plain %d\n" % len(told[1]) + told[1]
+    v2 = b"filedesc://g 0.0.0.0 20200102030405 text/plain 200 - - 0 - %d\n" % len(told[2]) + told[2]
+    data = v1 + b"\nhttp://x 1.2.3.4 20200102030405 text/html 6\nab\n\ncd\n" + v2 + b"\nhttp://y 1.2.3.4 20200102030405 text/html 404 - - 0 f 0\n\n"
     got = [(f["URL"], f.get("Result-code"), block) for _, f, block in archives.arc_records(data)]
-    assert got == [("http://x", None, b"ab\n\nc"), ("http://y", "404", b"")] or got[0][2][:2] == b"ab"
+    assert got == [("http://x", None, b"ab\n\ncd"), ("http://y", "404", b"")]
     with pytest.raises(ValueError):
         list(archives.arc_records(v1 + b"\nhttp://x 1.2.3.4 20200102030405 text/html 500\nab"))
     with pytest.raises(ValueError):
