@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,39 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs.withColumn("path", path)).select("doc_id", "path", "license", F.round("license_score", 6).alias("license_score"), "license_how", "license_dir")
 
 
+def _template_rows() -> str:
+    """License, term and count of each template, as rows of SQL."""
+    rows = [(n, t, c) for n, x in sorted(licenses.TEMPLATES.items()) for t, c in sorted(Counter(licenses._terms(x)).items())]
+    return ", ".join(f"('{n}', '{t}', {c})" for n, t, c in rows)
+
+
+def op4_sql() -> str:
+    return r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+    '/' || coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || (doc_id // 100) || '/' || doc_id || '.txt' AS path FROM documents),
+p AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_extract_all(lower(text), '[a-z0-9]+(?:[.-][a-z0-9]+)*') AS w FROM d),
+tpl AS (SELECT * FROM (VALUES TEMPLATE_ROWS) v(license, term, tf)),
+df AS (SELECT t, count(*) AS c FROM (SELECT unnest(list_distinct(w)) AS t FROM p) WHERE t IN (SELECT term FROM tpl) GROUP BY t),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM d))::DOUBLE / (1 + coalesce(max(c), 0))) + 1 AS idf FROM tpl LEFT JOIN df ON t = term GROUP BY term),
+v AS (SELECT license, term, tf * idf AS w, sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY license)) AS own FROM tpl JOIN idf USING (term)),
+cut AS (SELECT r, unnest(string_split(regexp_replace(text, '([.!?])[\x20\x09-\x0D]+|[\n\r]+', '\1' || chr(1), 'g'), chr(1))) AS s FROM p),
+s AS (SELECT row_number() OVER () AS i, r, regexp_extract_all(lower(s), '[a-z0-9]+(?:[.-][a-z0-9]+)*') AS w FROM cut),
+k AS (SELECT i, t, count(*) AS tf FROM (SELECT i, unnest(w) AS t FROM s WHERE list_has_any(w, (SELECT list(DISTINCT term) FROM tpl))) GROUP BY i, t),
+norm AS (SELECT i, sqrt(sum((tf * coalesce(idf, ln(1 + (SELECT count(*) FROM d)) + 1)) ** 2)) AS size FROM k LEFT JOIN idf ON term = t GROUP BY i),
+dot AS (SELECT i, license, sum(k.tf * idf.idf * v.w / v.own) AS dot FROM k JOIN v ON v.term = t JOIN idf ON idf.term = t GROUP BY i, license),
+hit AS (SELECT i, max(round(dot / size, 9)) AS score, arg_max(license, (round(dot / size, 9), -ord)) AS license FROM dot JOIN norm USING (i) JOIN (SELECT license, row_number() OVER (ORDER BY license) AS ord FROM (SELECT DISTINCT license FROM tpl)) USING (license) GROUP BY i HAVING score >= 0.75),
+own AS (SELECT r, max(score) AS score, min(license) FILTER (score = best) AS license, sum(n) AS words FROM (SELECT s.r, hit.*, len(s.w) AS n, max(score) OVER (PARTITION BY s.r) AS best FROM hit JOIN s USING (i)) GROUP BY r),
+f AS (SELECT p.*, own.score, own.license, own.words FROM p LEFT JOIN own USING (r)),
+dirs AS (SELECT dir AS up, min(license) AS given FROM f WHERE words >= 0.5 * len(w) GROUP BY dir),
+near AS (SELECT f.dir, arg_max(up, length(up)) AS up, arg_max(given, length(up)) AS given FROM (SELECT DISTINCT dir FROM f) f JOIN dirs ON f.dir = up OR starts_with(f.dir, up || '/') GROUP BY f.dir)
+SELECT doc_id, path, coalesce(license, given) AS license, round(coalesce(score, 0), 6) AS license_score,
+  CASE WHEN license IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS license_how,
+  CASE WHEN license IS NULL THEN up END AS license_dir
+FROM f LEFT JOIN near USING (dir)
+""".replace("TEMPLATE_ROWS", _template_rows())
+
+
 def op5_shard_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     whole = F.coalesce("text", F.lit(""))
@@ -176,4 +211,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": OP1_SQL, "op2_arc_to_warc": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op7_de_bruijn_dedup": OP7_SQL, "op8_positional_index": OP8_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_arc_to_warc": OP2_SQL, "op4_license_scan": op4_sql(), "op6_jaccard_join": OP6_SQL, "op7_de_bruijn_dedup": OP7_SQL, "op8_positional_index": OP8_SQL}
