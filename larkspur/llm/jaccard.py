@@ -260,15 +260,29 @@ def _meetings(sigs: DataFrame) -> DataFrame:
     return x.join(y, meet & fits & shared).select(col("x.key").alias("a"), col("y.key").alias("b"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    bitmap = among(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+def _limited(sets: DataFrame, bitmap: tuple, inside: bool = True) -> DataFrame:
+    """Rows (key, ...) that the bitmap lets through, or those that it does not."""
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(hits(bitmap, _key(batch))))
+            yield batch.filter(pa.array(hits(bitmap, _key(batch)) == inside))
+
+    return sets.mapInArrow(run, sets.schema)
 
-    members = sets.select("key", "set").mapInArrow(run, "key long, set array<long>")
+
+def _owned(sets: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """key, set and comp; only sets of texts that may have a link are exchanged for it."""
+    rows = sets.select("key", "set")
+    if comps is None:
+        return _labelled(rows, None)
+    bitmap = among(comps.select(F.col("node").alias("key")))
+    alone = _limited(rows, bitmap, False).withColumn("comp", F.col("key"))
+    return _labelled(_limited(rows, bitmap), comps).select("key", "set", "comp").unionByName(alone)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets link."""
+    members = _limited(sets.select("key", "set"), among(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
     side = lambda c: members.select(F.col("key").alias(c), F.col("set").alias(f"{c}_set"), F.pmod("key", F.lit(7)).alias(f"{c}m"))
     keyed = pairs.select("a", "b", F.pmod("a", F.lit(7)).alias("am"), F.pmod("b", F.lit(7)).alias("bm"))
     both = keyed.join(side("a"), ["a", "am"]).join(side("b"), ["b", "bm"])
@@ -277,7 +291,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= 80 * union).select("a", "b")
 
 
-def _stars(tokens: DataFrame, turn: int) -> DataFrame:
+def _stars(tokens: DataFrame, turn: int, lowest: int) -> DataFrame:
     """For each document the leader of most of its tokens, if that is of another component and a possible partner."""
     # documents whose tokens many others have come first: an original leads its copies
     rank = F.struct(-F.col("mean"), F.xxhash64("key", F.lit(turn)))
@@ -285,7 +299,9 @@ def _stars(tokens: DataFrame, turn: int) -> DataFrame:
     lead = stage(lead.select("t", F.pmod("t", F.lit(7)).alias("m"), "lead"), "leaders")
     met = tokens.withColumn("m", F.pmod("t", F.lit(7))).join(lead, ["t", "m"])
     met = met.where((F.col("comp") != F.col("lead.comp")) & (5 * F.least("n", "lead.n") >= 4 * F.greatest("n", "lead.n")))
-    best = met.groupBy("key", F.col("lead.key").alias("l")).agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("l", F.struct("c", "l")).alias("l"))
+    # a star pair is worth a comparison if the leader leads two fifths of the tokens that were looked at
+    led = met.groupBy("key", F.col("lead.key").alias("l")).agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= 0.4 * F.least("n", F.lit(lowest)))
+    best = led.groupBy("key").agg(F.max_by("l", F.struct("c", "l")).alias("l"))
     return best.select(F.least("key", "l").alias("a"), F.greatest("key", "l").alias("b")).distinct()
 
 
@@ -327,16 +343,19 @@ def link(rows: DataFrame, heads: DataFrame, total: int, rare: int = RARE, common
     mean = stage(low.groupBy("key").agg((F.sum("c") / F.least(F.first("n"), F.lit(lowest))).alias("mean")).select("key", "mean"), "means")
     drop(shared)
     for turn in range(turns):
-        found = stage(_stars(_labelled(low.join(mean, "key"), comps), turn), "pairs")
+        found = stage(_stars(_labelled(low.join(mean, "key"), comps), turn, lowest), "pairs")
         links.append(stage(_verified(found, sets), "links"))
         comps = merge(reduce(DataFrame.unionByName, links))
         drop(found)
     drop(low, mean)
-    owned = _labelled(sets, comps)
-    told = repeated(owned.select("key", "comp", "set"), _token_entries, buckets).withColumn("m", F.pmod("key", F.lit(7)))
-    told = stage(told, "open")
-    left = _labelled(sets, comps).withColumn("m", F.pmod("key", F.lit(7))).join(told, ["key", "m"]).select("key", "comp", "n", "set", "at")
-    left = stage(left.mapInArrow(_open_tokens, "key long, comp long, n long, tokens array<long>"), "left")
+    told = stage(repeated(_owned(sets, comps), _token_entries, buckets), "open")
+    # who may have partners is decided without the sets
+    sizes = _labelled(sets.select("key", "n"), comps).withColumn("m", F.pmod("key", F.lit(7)))
+    most = sizes.join(told.withColumn("m", F.pmod("key", F.lit(7))), ["key", "m"])
+    most = stage(most.where(F.octet_length("at") / 4 >= F.floor((4 * F.col("n") + 4) / 5)), "candidates")
+    few = _limited(sets.select("key", "set"), among(most.select("key"))).withColumn("m", F.pmod("key", F.lit(7)))
+    left = stage(few.join(most, ["key", "m"]).select("key", "comp", "n", "set", "at").mapInArrow(_open_tokens, "key long, comp long, n long, tokens array<long>"), "left")
+    drop(most)
     flat = left.select(F.explode("tokens").alias("t"), "key", "comp", "n")
     counts = stage(flat.groupBy("t").agg(F.count("*").alias("df")).withColumn("m", F.pmod("t", F.lit(7))), "counts")
     per = flat.withColumn("m", F.pmod("t", F.lit(7))).join(counts, ["t", "m"]).groupBy("key").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.collect_list(F.struct("t", "df")).alias("p"))
