@@ -117,6 +117,7 @@ def test_rows_and_iteration(docs):
     assert seen == [1, 2, 3, 4]
     assert docs.engine.row("docs", 3)["key"] == "k3" and docs.engine.row("docs", 99) is None
     assert docs.engine.row_count("docs") == 30
+    assert docs.engine.first_rowid("docs", score=None) == 7 and docs.engine.first_rowid("docs", key="none") is None
     assert "Scan parquet" in s.plan_description()
 
 
