@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._words import give_back, lean
+
 SENT = "bucket int, known boolean, vals binary, keys binary, which binary, at binary, owners binary"
 #: Entries that a task packs at once.
-CHUNK = 250_000
+CHUNK = 150_000
 
 
 def pack(chunks: Iterator[tuple], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -159,8 +161,13 @@ def repeated(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[tuple
     def run(batches):
         yield from pack((e for b in batches for e in entries(b)), buckets)
 
-    sent = rows.mapInArrow(run, SENT)
-    found = sent.groupBy("bucket").applyInArrow(lambda t: answer(t, buckets), "group int, keys binary, which binary, at binary")
+    sent = rows.mapInArrow(lean(run), SENT)
+    def answered(t: pa.Table) -> pa.Table:
+        out = answer(t, buckets)
+        give_back()
+        return out
+
+    found = sent.groupBy("bucket").applyInArrow(answered, "group int, keys binary, which binary, at binary")
     return found.groupBy("group").applyInArrow(gather, "key long, at binary")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._exchange import places, repeated
 from ._store import drop, parts, small_batches, stage
-from ._words import batch_bytes, gram_hashes, mix, slices, word_hashes, words_of
+from ._words import batch_bytes, gram_hashes, lean, mix, slices, word_hashes, words_of
 from .components import merge
 
 GRAM = 5
@@ -141,7 +141,7 @@ def _whole_sets(bitmap: tuple):
                 sets = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(val.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.names.index("k1")), pa.array(np.diff(at)), sets], names=["key", "n", "set"])
 
-    return run
+    return lean(run)
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +267,7 @@ def _limited(sets: DataFrame, bitmap: tuple, inside: bool = True) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(hits(bitmap, _key(batch)) == inside))
 
-    return sets.mapInArrow(run, sets.schema)
+    return sets.mapInArrow(lean(run), sets.schema)
 
 
 def _owned(sets: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -354,13 +354,13 @@ def link(rows: DataFrame, heads: DataFrame, total: int, rare: int = RARE, common
     most = sizes.join(told.withColumn("m", F.pmod("key", F.lit(7))), ["key", "m"])
     most = stage(most.where(F.octet_length("at") / 4 >= F.floor((4 * F.col("n") + 4) / 5)), "candidates")
     few = _limited(sets.select("key", "set"), among(most.select("key"))).withColumn("m", F.pmod("key", F.lit(7)))
-    left = stage(few.join(most, ["key", "m"]).select("key", "comp", "n", "set", "at").mapInArrow(_open_tokens, "key long, comp long, n long, tokens array<long>"), "left")
+    left = stage(few.join(most, ["key", "m"]).select("key", "comp", "n", "set", "at").mapInArrow(lean(_open_tokens), "key long, comp long, n long, tokens array<long>"), "left")
     drop(most)
     flat = left.select(F.explode("tokens").alias("t"), "key", "comp", "n")
     counts = stage(flat.groupBy("t").agg(F.count("*").alias("df")).withColumn("m", F.pmod("t", F.lit(7))), "counts")
     per = flat.withColumn("m", F.pmod("t", F.lit(7))).join(counts, ["t", "m"]).groupBy("key").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.collect_list(F.struct("t", "df")).alias("p"))
     schema = "sig long, t1 long, t2 long, key long, comp long, n long, open long, prefix array<long>"
-    sigs = stage(per.select("key", "comp", "n", F.col("p.t").alias("tokens"), F.col("p.df").alias("dfs")).mapInArrow(lambda b: _signatures(b, rare, common), schema), "signatures")
+    sigs = stage(per.select("key", "comp", "n", F.col("p.t").alias("tokens"), F.col("p.df").alias("dfs")).mapInArrow(lean(lambda b: _signatures(b, rare, common)), schema), "signatures")
     several = sigs.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     several = stage(several.select("sig", F.pmod("sig", F.lit(7)).alias("m")), "several")
     kept = stage(sigs.withColumn("m", F.pmod("sig", F.lit(7))).join(several, ["sig", "m"]), "signatures")
@@ -382,7 +382,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     rows = docs.select(F.col(row_id).alias("id"), whole.alias("text"), F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(1), whole).alias("k2"))
     id_type = docs.schema[row_id].dataType.simpleString()
     with small_batches(docs.sparkSession):
-        heads = stage(rows.mapInArrow(_heads, f"id {id_type}, k1 long, k2 long, n long"), "heads")
+        heads = stage(rows.mapInArrow(lean(_heads), f"id {id_type}, k1 long, k2 long, n long"), "heads")
         total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 6
         nodes = link(rows, heads, int(total), rare, common, turns)
     texts = heads.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"))
