@@ -186,29 +186,35 @@ def _signatures(batches, rare: int, common: int, most: int = 20_000):
         key, comp, n = (_key(batch, c) for c in ("key", "comp", "n"))
         prefixes, rows, size = [], [], 0
         owner: list = []
+        begins: list = []
         for i in range(len(batch)):
             span = slice(at[i], at[i + 1])
             prefix, t1, t2 = signatures(token[span], df[span].view(np.int64), int(need(int(n[i]))), rare, common)
             for j in range(0, len(t1), most):  # a long document's rows go in pieces
                 rows.append((t1[j : j + most], t2[j : j + most], np.full(len(t1[j : j + most]), len(prefixes))))
                 owner.append(i)
+                begins.append(j == 0)
                 prefixes.append(prefix)
-                size += len(rows[-1][0]) * (len(prefix) + 8)
+                size += len(rows[-1][0]) * 8 + len(prefix)
                 if size > 500_000:
-                    yield _sig_batch(prefixes, rows, owner, key, comp, n, at)
-                    prefixes, rows, owner, size = [], [], [], 0
+                    yield _sig_batch(prefixes, rows, owner, begins, key, comp, n, at)
+                    prefixes, rows, owner, begins, size = [], [], [], [], 0
         if rows:
-            yield _sig_batch(prefixes, rows, owner, key, comp, n, at)
+            yield _sig_batch(prefixes, rows, owner, begins, key, comp, n, at)
 
 
-def _sig_batch(prefixes: list, rows: list, owner: list, key: np.ndarray, comp: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _sig_batch(prefixes: list, rows: list, owner: list, begins: list, key: np.ndarray, comp: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     t1, t2, which = (np.concatenate(x) for x in zip(*rows, strict=True))
-    lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32), pa.array(np.concatenate(prefixes).view(np.int64)))
     o = np.array(owner)[which]
+    # a document's prefix goes with the first of its rows
+    lead = np.r_[True, which[1:] != which[:-1]] & np.array(begins)[which]
+    sizes = np.where(lead, np.array([len(p) for p in prefixes])[which], 0)
+    flat = [prefixes[w] for w in which[lead]]
+    lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.array(np.concatenate(flat).view(np.int64) if flat else np.zeros(0, np.int64)))
     with np.errstate(over="ignore"):
         sig = np.where(t2 == 0, t1, mix(t1 * np.uint64(3) + mix(t2)))
-    cols = [sig.view(np.int64), t1.view(np.int64), t2.view(np.int64), key[o].view(np.int64), comp[o].view(np.int64), n[o].view(np.int64), np.diff(at)[o]]
-    return pa.RecordBatch.from_arrays([*map(pa.array, cols), lists.take(pa.array(which))], names=["sig", "t1", "t2", "key", "comp", "n", "open", "prefix"])
+    cols = [sig.view(np.int64), t1.view(np.int64), t2.view(np.int64), key[o].view(np.int64), comp[o].view(np.int64), n[o].view(np.int64), np.diff(at)[o], lead]
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), lists], names=["sig", "t1", "t2", "key", "comp", "n", "open", "first", "prefix"])
 
 
 def signatures(t: np.ndarray, df: np.ndarray, least: int, rare: int, common: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,11 +365,14 @@ def link(rows: DataFrame, heads: DataFrame, total: int, rare: int = RARE, common
     flat = left.select(F.explode("tokens").alias("t"), "key", "comp", "n")
     counts = stage(flat.groupBy("t").agg(F.count("*").alias("df")).withColumn("m", F.pmod("t", F.lit(7))), "counts")
     per = flat.withColumn("m", F.pmod("t", F.lit(7))).join(counts, ["t", "m"]).groupBy("key").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.collect_list(F.struct("t", "df")).alias("p"))
-    schema = "sig long, t1 long, t2 long, key long, comp long, n long, open long, prefix array<long>"
+    schema = "sig long, t1 long, t2 long, key long, comp long, n long, open long, first boolean, prefix array<long>"
     sigs = stage(per.select("key", "comp", "n", F.col("p.t").alias("tokens"), F.col("p.df").alias("dfs")).mapInArrow(lean(lambda b: _signatures(b, rare, common)), schema), "signatures")
     several = sigs.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     several = stage(several.select("sig", F.pmod("sig", F.lit(7)).alias("m")), "several")
-    kept = stage(sigs.withColumn("m", F.pmod("sig", F.lit(7))).join(several, ["sig", "m"]), "signatures")
+    kept = sigs.drop("prefix", "first").withColumn("m", F.pmod("sig", F.lit(7))).join(several, ["sig", "m"])
+    # prefixes join the rows that are left
+    prefixes = sigs.where("first").select("key", "prefix").withColumn("km", F.pmod("key", F.lit(7)))
+    kept = stage(kept.withColumn("km", F.pmod("key", F.lit(7))).join(prefixes, ["key", "km"]).drop("km"), "signatures")
     pairs = stage(_meetings(kept), "pairs")
     links.append(stage(_verified(pairs, sets), "links"))
     drop(told, left, counts, sigs, several, kept, pairs, sets)
