@@ -46,6 +46,17 @@ def test_license_scan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_license_texts_and_headers(spark):
+    texts = dict(licenses.license_texts())
+    rows = [(n, f"/{n}/LICENSE", f"Copyright 2020 Ada Example\n\n{x}") for n, x in texts.items()]
+    rows.append(("BSD-2-Clause", "/src/a.c", "/* " + texts["BSD-2-Clause"].replace("\n", "\n * ") + " */\n" + "int a; foo bar();\n" * 200))
+    apache = "# Licensed under the Apache License, Version 2.0 (the \"License\");\r\n# you may not use this file except in compliance with the License.\r\n# You may obtain a copy of the License at\r\n#\r\n#  http://www.apache.org/licenses/LICENSE-2.0\r\nimport os"
+    agpl = "/*\n * Foo is free software: you can redistribute it and/or modify it under\n * the terms of the GNU Affero General Public License as published by the Free\n * Software Foundation, either version 3 of the License, or (at your option)\n * any later version.\n */\nint x;"
+    rows += [("Apache-2.0", "/src/b.py", apache), ("AGPL-3.0", "/src/c.c", agpl), ("GPL-2.0", "/src/d.c", "// Copyright Foo\n// SPDX-License-Identifier: GPL-2.0-or-later\n#include <x>"), ("MIT", "/MIT/src/e.c", "int y;")]
+    got = {r["path"]: (r["want"], r["license"], r["license_how"]) for r in licenses.scan(spark.createDataFrame(rows, "want string, path string, text string")).collect()}
+    assert got == {p: (n, n, "inherited" if p == "/MIT/src/e.c" else "own") for n, p, _ in rows}
+
+
 def shard_rows(n):
     rows = [(i, "x" * (i * 7919 % 900) + str(i), "c") for i in range(n)]
     rows += [(10_000 + i, "copy " * 40, "c") for i in range(n // 3)] + [(None, None, "c"), (5, "", "c"), (5, "", "c"), (77_777, "y" * 60_000, "c")]
