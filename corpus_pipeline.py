@@ -14,8 +14,10 @@ LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told go on."""
+    """Documents whose language is told go on; if no language could be learned, all documents with a letter do."""
     model = language_id.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike("\\p{L}")).select(*COLUMNS)
     out = language_id.identify(docs.select(*COLUMNS), model)
     return out.where((F.col("__lang_pred") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*COLUMNS)
 

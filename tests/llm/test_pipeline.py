@@ -46,3 +46,9 @@ def test_repeated_rows_and_nulls(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, docs, SF).collect()), key=str)
     assert got == sorted([(1, rows[0][1]), (None, rows[4][1]), (5, None), (6, "")], key=str)
     assert P.shard(spark, P.mix_sources(spark, P.drop_contaminated(spark, docs.limit(0), SF), SF), SF).collect() == []
+
+
+def test_no_language_learned(spark):
+    rows = [(1, "clean words", None, "s", 11), (2, "12 34", None, "s", 5), (3, None, None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in P.identify_language(spark, docs, SF).collect()] == [1]
