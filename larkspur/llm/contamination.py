@@ -1,14 +1,18 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-``build_index`` stores token postings of the training texts: one row for some
-megabytes of text, with the sorted terms, their positions and the documents.
-Postings are kept for the terms that the query block can ask for.  ``search`` takes
-each query window's terms from the rarest (by document postings in the whole corpus)
-to the most frequent and intersects their position lists, each adjusted by the term's
-offset.  With ``slop`` = 0 that finds exact phrases; with a larger one, proximity
-matches, in which each term may stand up to ``slop`` words beside its place.
-
-The benchmark is a stated query set: it is read in blocks of bounded size.
+``build_index`` stores the postings of all words of the training texts, once: the
+index is partitioned by documents, a row for each ``CHUNK_BYTES`` of text with the
+sorted terms, how often each stands there and its positions.  Partitioned by terms, the
+list of a word that every text has would be one task's; here it is spread over all.
+``search`` takes each query window's terms from the rarest (by postings in the whole
+index) to the most frequent: rows of the index that lack one of them are left out at
+the first that is missing, then the position lists, each adjusted by the term's offset,
+are intersected in the same order.  With ``slop`` = 0 that finds exact phrases; with a
+larger one, proximity matches, in which each term may stand up to ``slop`` words beside
+its place.
+
+The benchmark is a stated query set: blocks of bounded size are searched for in the
+stored index, one after another.
 """
 
 from __future__ import annotations
@@ -22,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from ._store import drop, stage
-from ._words import LOWERED, batch_bytes, gram_hashes, slices, word_hashes, words_of
+from ._store import drop, small_batches, stage
+from ._words import LOWERED, batch_bytes, gram_hashes, lean, slices, word_hashes, words_of
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
+#: Text of a row of the index; a longer text is a row by itself.
+CHUNK_BYTES = 1 << 19
 
 
 class Block:
@@ -56,7 +62,22 @@ class Block:
         order = np.argsort(which, kind="stable")
         self.items = items[order]
         self.item_at = np.r_[0, np.cumsum(np.bincount(which, minlength=len(first)))]
-        self.terms = np.unique(self.h)
+        self.terms, self.term = np.unique(self.h, return_inverse=True)
+        self.order = np.zeros((len(self.starts), 0), np.uint8 if window < 256 else np.uint32)
+
+    def rank(self, postings: np.ndarray, step: int = 1 << 16) -> None:
+        """Offsets of each window's terms, those with the fewest postings first; past a short window's end its last term stands again."""
+        longest = int(self.sizes.max()) if len(self.sizes) else 0
+        self.order = np.zeros((len(self.starts), longest), self.order.dtype)
+        for i in range(0, len(self.starts), step):
+            offset = np.minimum(np.arange(longest), self.sizes[i : i + step, None] - 1)
+            rare = np.argsort(postings[self.term[self.starts[i : i + step, None] + offset]], 1, kind="stable")
+            self.order[i : i + step] = np.take_along_axis(offset, rare, 1)
+
+    def nth(self, alive: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Offset and number of the j-th rarest term of some windows."""
+        offset = self.order[alive, j].astype(np.int64)
+        return offset, self.term[self.starts[alive] + offset]
 
 
 def blocks(bench: DataFrame, item: str, text: str, window: int, most: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -72,7 +93,7 @@ def blocks(bench: DataFrame, item: str, text: str, window: int, most: int = BLOC
         yield Block(ids, texts, window)
 
 
-def build_index(docs: DataFrame, terms: np.ndarray, text: str, row_id: str) -> DataFrame:
+def build_index(docs: DataFrame, text: str, row_id: str) -> DataFrame:
     """ids (of the rows), texts (SHA-256 of each), n_words, and terms, counts, positions (packed numpy arrays).
 
     Positions count words through all texts of a row of the index, with a hole between two texts.
@@ -83,27 +104,24 @@ def build_index(docs: DataFrame, terms: np.ndarray, text: str, row_id: str) -> D
     def run(batches):
         for batch in batches:
             sizes = np.diff(batch_bytes(batch.column(1))[1])
-            for i, j in slices(sizes, 4 << 20):
+            for i, j in slices(sizes, CHUNK_BYTES):
                 ids, texts = batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)
                 w = words_of(texts, LOWERED, fold=True)
                 h = word_hashes(w)
                 n = np.diff(w.first)
-                k = np.searchsorted(terms, h)
-                known = np.flatnonzero((k < len(terms)) & (terms[np.minimum(k, len(terms) - 1)] == h)) if len(terms) else np.zeros(0, np.int64)
-                pos = (np.arange(len(h)) + np.repeat(np.arange(len(n)), n))[known].astype(np.uint32)
-                k = k[known]
-                order = np.argsort(k, kind="stable")
-                used, counts = np.unique(k, return_counts=True)
+                order = np.argsort(h, kind="stable")
+                begin = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, np.int64)
+                pos = (order + np.repeat(np.arange(len(n)), n)[order]).astype(np.uint32)
                 raw, at = batch_bytes(texts)
-                raw = raw.tobytes()
+                raw = memoryview(raw)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([ids.to_pylist()], pa.list_(ids.type)),
                     pa.array([[hashlib.sha256(raw[a:b]).digest() for a, b in zip(at[:-1], at[1:], strict=True)]], pa.list_(pa.binary())),
                     pa.array([n.tolist()], pa.list_(pa.int64())),
-                    *[pa.array([x.tobytes()], pa.binary()) for x in (terms[used], counts.astype(np.uint32), pos[order])],
+                    *[pa.array([x.tobytes()], pa.binary()) for x in (h[order[begin]], np.diff(np.r_[begin, len(h)]).astype(np.uint32), pos)],
                 ], names=["ids", "texts", "n_words", "terms", "counts", "positions"])
 
-    return docs.select(row_id, text).mapInArrow(run, schema)
+    return docs.select(row_id, text).mapInArrow(lean(run), schema)
 
 
 def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
@@ -113,16 +131,24 @@ def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
         total = np.zeros(len(terms), np.int64)
         for batch in batches:
             for t, c in zip(batch.column(0), batch.column(1), strict=True):
-                total[np.searchsorted(terms, np.frombuffer(t.as_py(), np.uint64))] += np.frombuffer(c.as_py(), np.uint32)
+                have, n = np.frombuffer(t.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint32)
+                at, there = _found(have, terms)
+                total[there] += n[at[there]]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["t", "n"])
 
     out = np.zeros(len(terms), np.int64)
-    for r in index.select("terms", "counts").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+    for r in index.select("terms", "counts").mapInArrow(lean(run), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
         out[r["t"]] = r["n"]
     return out
 
 
+def _found(have: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of terms would stand in the sorted have, and whether it does."""
+    at = np.searchsorted(have, terms)
+    return at, (at < len(have)) & (have[np.minimum(at, len(have) - 1)] == terms) if len(have) else np.zeros(len(terms), bool)
+
+
 def _near(keys: np.ndarray, want: np.ndarray, slop: int) -> np.ndarray:
     """Whether a sorted list has a number within slop of each wanted one; the upper half of a number names its list."""
     if not len(keys):
@@ -131,37 +157,33 @@ def _near(keys: np.ndarray, want: np.ndarray, slop: int) -> np.ndarray:
     return (k < len(keys)) & (keys[np.minimum(k, len(keys) - 1)] <= want + slop)
 
 
-def intersect(b: Block, rarity: np.ndarray, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def intersect(b: Block, terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(window, position) of all matches in one row of the index."""
-    if not len(b.starts) or not len(terms):
+    local, there = _found(terms, b.terms)
+    alive, longest = np.arange(len(b.starts)), b.order.shape[1]
+    for j in range(longest):
+        alive = alive[there[b.nth(alive, j)[1]]]
+    if not len(alive):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    longest = int(b.sizes.max())
-    local = np.searchsorted(terms, b.h)
-    there = (local < len(terms)) & (terms[np.minimum(local, len(terms) - 1)] == b.h)
-    grid = b.starts[:, None] + np.minimum(np.arange(longest), b.sizes[:, None] - 1)
-    alive = np.flatnonzero(there[grid].all(1))
     begin = np.r_[0, np.cumsum(counts)].astype(np.int64)
     keys = (np.repeat(np.arange(len(terms)), counts) << 33) + positions.astype(np.int64) + 64
-    # offsets of each window's terms, rarest first; offsets past a short window's end repeat its last term
-    by_rarity = np.argsort(rarity[np.searchsorted(b.terms, b.h[grid[alive]])], 1, kind="stable")
-    offset = np.minimum(by_rarity, b.sizes[alive][:, None] - 1)
-    term = local[b.starts[alive][:, None] + offset]
-    n = counts[term[:, 0]].astype(np.int64) if len(alive) else np.zeros(0, np.int64)
+    offset, term = b.nth(alive, 0)
+    n = counts[local[term]].astype(np.int64)
     win = np.repeat(np.arange(len(alive)), n)
     k = np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n)
-    start = positions[begin[term[win, 0]] + k].astype(np.int64) - offset[win, 0] if len(win) else k
+    start = positions[begin[local[term]][win] + k].astype(np.int64) - offset[win]
     ok = start >= 0
     win, start = win[ok], start[ok]
     for j in range(1, longest):
-        want = (term[win, j] << 33) + start + offset[win, j] + 64
-        ok = _near(keys, want, slop)
+        offset, term = b.nth(alive[win], j)
+        ok = _near(keys, (local[term] << 33) + start + offset + 64, slop)
         win, start = win[ok], start[ok]
         if not len(win):
             break
     return alive[win], start
 
 
-def search(index: DataFrame, b: Block, rarity: np.ndarray, row_id_type, slop: int = 0) -> DataFrame:
+def search(index: DataFrame, b: Block, row_id_type, slop: int = 0) -> DataFrame:
     """One row per text: id, text (SHA-256), n_words, n_hit (words inside a match) and items (sorted)."""
     schema = StructType([StructField("id", row_id_type), StructField("text", BinaryType()), StructField("n_words", LongType()), StructField("spans", ArrayType(LongType())), StructField("items", ArrayType(StringType()))])
 
@@ -170,7 +192,7 @@ def search(index: DataFrame, b: Block, rarity: np.ndarray, row_id_type, slop: in
             for r in range(len(batch)):
                 ids, texts, n_words, terms, counts, positions = (batch.column(c)[r] for c in range(6))
                 n = np.array(n_words.as_py(), np.int64)
-                win, start = intersect(b, rarity, np.frombuffer(terms.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.uint32), np.frombuffer(positions.as_py(), np.uint32), slop)
+                win, start = intersect(b, np.frombuffer(terms.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.uint32), np.frombuffer(positions.as_py(), np.uint32), slop)
                 base = np.cumsum(n + 1) - (n + 1)  # where each text's positions begin
                 doc = np.searchsorted(base, start, "right") - 1
                 spans, items = [[] for _ in n], [[] for _ in n]
@@ -182,7 +204,7 @@ def search(index: DataFrame, b: Block, rarity: np.ndarray, row_id_type, slop: in
                     items[d] = sorted({b.ids[k] for x in np.unique(win[mine]) for k in b.items[b.item_at[x] : b.item_at[x + 1]]})
                 yield pa.RecordBatch.from_arrays([ids.values, texts.values, pa.array(n), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["id", "text", "n_words", "spans", "items"])
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(lean(run), schema)
 
 
 def _union(lo: np.ndarray, hi: np.ndarray) -> list:
@@ -202,18 +224,21 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", row_id:
     than the window is one window.  A null item id counts as the empty string.
     Repeated rows of docs give repeated rows.  Other columns are not read.
     """
-    id_type, found, more = docs.schema[row_id].dataType, None, []
-    for b in blocks(bench, item, item_text, window):
-        index = stage(build_index(docs, b.terms, text, row_id), "postings")
-        hits = stage(search(index, b, term_counts(index, b.terms), id_type, slop), "hits")
-        drop(index)
-        if found is None:
-            found = hits
-        else:
-            more.append(hits.where(F.size("spans") > 0).select("text", "spans", "items").dropDuplicates(["text"]))
-    if found is None:  # no item with words
-        b = Block([], [], window)
-        found = search(build_index(docs, b.terms, text, row_id), b, np.zeros(0, np.int64), id_type)
+    id_type, spark, found, more = docs.schema[row_id].dataType, docs.sparkSession, None, []
+    with small_batches(spark):
+        index = stage(build_index(docs, text, row_id), "postings")
+    with small_batches(spark, 8):  # of rows of the index
+        for b in blocks(bench, item, item_text, window):
+            b.rank(term_counts(index, b.terms))
+            hits = search(index, b, id_type, slop)
+            if found is None:
+                found = stage(hits, "hits")
+            else:
+                hits = stage(hits.where(F.size("spans") > 0).select("text", "spans", "items"), "hits")
+                more.append(hits.dropDuplicates(["text"]))
+        if found is None:  # no item with words
+            found = stage(search(index, Block([], [], window), id_type), "hits")
+    drop(index)
     return _finish(_merged(found, more) if more else found)
 
 
@@ -231,7 +256,7 @@ def _merged(first: DataFrame, more: list[DataFrame]) -> DataFrame:
             spans = [_union(np.array(x[::2]), np.array(x[1::2])) if x else [] for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, pa.list_(pa.int64())), batch.column(4)], names=batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lean(run), rows.schema)
 
 
 def _finish(hits: DataFrame) -> DataFrame:
