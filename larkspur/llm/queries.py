@@ -194,6 +194,7 @@ def op9_mix_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
         (F.col("__size") * F.col("__copies")).alias("taken"),
+        F.array_join(F.col("__shards").cast("array<string>"), ",").alias("shards"),
     )
 
 

@@ -126,6 +126,45 @@ def test_mixing(spark):
     assert mixing.plan(df.limit(0)).collect() == []
 
 
+def test_mixing_of_equal_rows(spark):
+    """A third of all rows are one row: a part of them is taken, and of each source the quota to the word."""
+    rows = [(7, "w " * 10, "hot")] * 3000 + [(i, "v " * 5, "b") for i in range(1000)] + [(None, "u " * 20_000, "c"), (None, None, "c"), (1, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {"b": 5000, "c": 20_000, "hot": 30_000, None: 0}
+    want = mixing.targets(sizes, dict(zip(sizes, (3, 1, 2, 3), strict=True)))
+    for part in (df, df.repartition(9)):
+        got = mixing.plan(part).groupBy("source").agg(F.sum(F.col("__size") * F.col("__copies")).alias("t"), F.first("__target").alias("g"), F.count("*").alias("n")).collect()
+        assert {r["source"]: r["g"] for r in got} == pytest.approx(want) and sum(r["n"] for r in got) == len(rows)
+        taken = {r["source"]: r["t"] for r in got}
+        assert abs(taken["hot"] - want["hot"]) <= 10 and abs(taken["b"] - want["b"]) <= 5 and abs(taken["c"] - want["c"]) <= 20_000
+    assert mixing.mix(df).where("source = 'hot'").count() == taken["hot"] // 10
+
+
+def test_mixing_of_many_sources(spark):
+    """Targets in rounds equal those of plain Python, and draws follow the tree."""
+    rows = [(i, "w " * (1 + i * i % 211), f"s{i * i % 97:03d}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan(df, shards=5, blocks=8).collect()
+    sizes, taken = Counter(), Counter()
+    for r in got:
+        sizes[r["source"]] += r["__size"]
+        taken[r["source"]] += r["__size"] * r["__copies"]
+    order = sorted(sizes)
+    want = mixing.targets({s: sizes[s] for s in order}, {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)})
+    most = {s: max(r["__size"] for r in got if r["source"] == s) for s in order}
+    assert {r["source"]: r["__target"] for r in got} == pytest.approx(want)
+    assert all(abs(taken[s] - want[s]) <= most[s] for s in order)
+    assert all(r["__copies"] <= 2 and set(r["__shards"]) <= set(range(5)) for r in got)
+
+
+def test_tree_inside_groups():
+    import numpy as np
+
+    q = np.array([5, 9, 1000, 77])
+    m = mixing.quotas_by_shard(q, np.array([500, 91, 500]), 3)
+    assert (m.sum(1) == q).all() and (m.sum(0) == [500, 91, 500]).all() and (m >= 0).all()
+
+
 def test_digest_of_chat_matches_rows(spark):
     got = chats(spark, [(1, 0, "user", "q"), (1, 1, "assistant", "a")])[1]
     told = "".join(f"{x['role']}\n{x['text']}\n" for x in got["back"])
