@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._words import batch_bytes, slices
+from ._words import batch_bytes, lean, slices
 
 WINDOW = 64
 HIDDEN = 8
@@ -176,9 +176,9 @@ def pooled(m: Model, texts: pa.Array, block: int = 2048) -> np.ndarray:
 
 
 def sample(docs: DataFrame, text: str, lang: str, row_id: str, per_lang: int) -> list:
-    """About per_lang labelled rows of each language, those with the smallest hashes of their ids: at most 2 * per_lang * languages rows."""
+    """About per_lang labelled rows of each language, those with the smallest hashes of ids and texts: at most 2 * per_lang * languages rows."""
     crc = F.crc32(F.coalesce(F.col(row_id).cast("string"), F.lit("")).cast("binary"))
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.pmod(crc, F.lit(4)) != 2)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(row_id).cast("string")).alias("h"))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.pmod(crc, F.lit(4)) != 2)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(row_id).cast("string"), F.col(text)).alias("h"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return []
@@ -222,7 +222,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     def run(batches):
         for batch in batches:
             sizes = np.diff(batch_bytes(batch.column(at))[1])
-            for i, j in slices(sizes, 1 << 20):
+            for i, j in slices(sizes, 1 << 18):
                 part = batch.slice(i, j - i)
                 col = part.column(at)
                 known = np.array(pc.match_substring_regex(col.fill_null(""), r"\p{L}").to_pylist(), bool)
@@ -234,4 +234,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 score = np.where(known, np.clip(p.max(1).round(6), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], names=[*batch.schema.names, "__lang_pred", "__score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
