@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._words import Words, batch_bytes, slices, word_hashes, words_of
+from ._words import Words, batch_bytes, lean, slices, word_hashes, words_of
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
@@ -161,7 +161,7 @@ def repetition(docs: DataFrame, text: str = "text", min_words: int = 8, max_cove
         for batch in batches:
             col = batch.column(at)
             sizes = np.diff(batch_bytes(col)[1])
-            for i, j in slices(sizes, 2 << 20):
+            for i, j in slices(sizes, 1 << 20):
                 part = batch.slice(i, j - i)
                 m = measure(part.column(at), min_words)
                 n = np.maximum(m["__n_words"], 1)
@@ -170,7 +170,7 @@ def repetition(docs: DataFrame, text: str = "text", min_words: int = 8, max_cove
                 cols = [pa.array(m[f.name], pa.int64()) for f in added.fields] + [pa.array(failed), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*batch.schema.names, *mine])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 __all__ = ["measure", "repetition"]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._exchange import places, repeated
 from ._store import drop, parts, stage
-from ._words import Words, batch_bytes, gram_hashes, slices, word_hashes, words_of
+from ._words import Words, batch_bytes, gram_hashes, lean, slices, word_hashes, words_of
 
 WINDOW, K = 35, 8
 
@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     # the second key lets a hot text's rows be split
     told2 = told.select(F.col("key").alias("k1"), F.pmod("key", F.lit(7)).alias("m"), "at", "dups")
     run, schema = _first_pass(id_type)
-    first = stage(rows.withColumn("m", F.pmod("k1", F.lit(7))).join(told2, ["k1", "m"], "left").select("k1", "k2", "id", "text", "at", "dups").mapInArrow(run, schema), "first-pass")
+    first = stage(rows.withColumn("m", F.pmod("k1", F.lit(7))).join(told2, ["k1", "m"], "left").select("k1", "k2", "id", "text", "at", "dups").mapInArrow(lean(run), schema), "first-pass")
     drop(told, copies)
     # of a text with copies each row goes on; they are one place all the same, since places are told apart by text
     graph = first.where("nodes is not null")
@@ -302,6 +302,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     hits = repeated(open_.select("k1", "text", "flagged", "spans"), _window_entries, buckets)
     hits = stage(hits, "windows")
     run, schema = _last_pass(id_type)
-    last = open_.where("not done").join(keyed(hits), ["k1", "m"], "left").select("k1", "id", "text", "spans", "at").mapInArrow(run, schema)
+    last = open_.where("not done").join(keyed(hits), ["k1", "m"], "left").select("k1", "id", "text", "spans", "at").mapInArrow(lean(run), schema)
     out = first.where("n_words is not null").select("k1", "id", "n_words", "n_removed", "kept_sha256").unionByName(last)
     return out.drop("k1")
