@@ -380,7 +380,7 @@ def link(rows: DataFrame, heads: DataFrame, total: int, rare: int = RARE, common
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", rare: int = RARE, common: int = COMMON, turns: int = TURNS) -> DataFrame:
-    """One row per row of docs: id, k1 and k2 (hashes of the text), n_shingles, component_id (the smallest id reachable by links).
+    """One row per row of docs: id, k1 and k2 (hashes of the text), n_shingles, component_id (the smallest id reachable by links), component_key (the component's own label, null for empty sets).
 
     A null text is empty; a text without words has an empty set, is linked with nothing
     and its component is its own id, be the text repeated or not.  Equal texts are
@@ -397,8 +397,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     texts = heads.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"))
     labelled = stage(texts.join(nodes.select(F.col("node").alias("k1"), "comp"), "k1", "left").select("k1", "k2", "least", F.coalesce("comp", "k1").alias("comp")), "labels")
     groups = stage(labelled.groupBy("comp").agg(F.min("least").alias("component_id")), "groups")
-    known = stage(labelled.join(groups, "comp").select("k1", "k2", "component_id"), "known")
+    known = stage(labelled.join(groups, "comp").select("k1", "k2", "component_id", F.col("comp").alias("component_key")), "known")
     out = heads.join(known, ["k1", "k2"], "left")
     mine = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", "k1", "k2", F.col("n").alias("n_shingles"), mine.alias("component_id"))
+    return out.select("id", "k1", "k2", F.col("n").alias("n_shingles"), mine.alias("component_id"), "component_key")
 
