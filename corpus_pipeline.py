@@ -25,9 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id, of several such rows the one whose text has the smallest hash."""
     found = jaccard.near_duplicates(docs)
-    # rows with one id: texts of one group go together, texts of different groups each stay
-    first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "k1", "k2", "component_id", "n_shingles").distinct()
-    chosen = stage(first.where("n_shingles > 0"), "chosen")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("c")
+    chosen = stage(found.where("n_shingles > 0").groupBy("component_key").agg(best).select("c.id", "c.k1", "c.k2"), "chosen")
     whole = F.coalesce("text", F.lit(""))
     keyed = docs.select(*COLUMNS, F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(1), whole).alias("k2"))
     same = F.col("d.doc_id").eqNullSafe(F.col("c.id")) & (F.col("d.k1") == F.col("c.k1")) & (F.col("d.k2") == F.col("c.k2"))
