@@ -126,11 +126,19 @@ def _json_real(word: Column) -> Column:
     return F.when(~word.contains("E"), word).when(small, plain).otherwise(F.regexp_replace(power, "e([+-])(\\d)$", "e$10$2"))
 
 
-def json_parts(doc: Column, p: str) -> tuple[Column, Column, Column]:
-    """Text, number (null unless it is one) and whether it is a text, of what a simple path leads to."""
+def let(x: Column, f) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def json_parts(doc: Column, p: str) -> Column:
+    """Of what a simple path leads to: a struct of text, number (null unless it is one) and is_text (whether it is a text).  The document is parsed once."""
     found = F.try_variant_get(F.parse_json(doc), p, "variant")
-    kind = F.schema_of_variant(found)
-    word = found.cast("string")
+    told = lambda v: F.struct(F.schema_of_variant(v).alias("kind"), v.cast("string").alias("word"))
+    return let(let(found, told), lambda w: F.struct(*[c.alias(n) for c, n in zip(_json_parts(doc, p, w["kind"], w["word"]), ("text", "number", "is_text"), strict=True)]))
+
+
+def _json_parts(doc: Column, p: str, kind: Column, word: Column) -> tuple[Column, Column, Column]:
     nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     is_bool, is_text = kind == "BOOLEAN", kind == "STRING"
     real = kind.startswith("DOUBLE") | kind.startswith("FLOAT")

@@ -9,7 +9,7 @@ ids of the sources, in FROM order, decide.
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -42,11 +42,13 @@ class Query:
     df: DataFrame
     names: list
     types: list
+    order: list = field(default_factory=list)  # columns of df that order its rows, if they were asked for
 
 
 class Selector:
     def __init__(self, engine, params=(), new_old=None):
         self.engine, self.params, self.new_old = engine, params, new_old or {}
+        self.keep_order = False
 
     def frame(self, ast) -> DataFrame:
         q = self.query(ast)
@@ -210,29 +212,30 @@ class Selector:
         wanted = [c.alias(n) for c, n in zip(cols, out_names, strict=True)]
         sort_names = [f"s{i}" for i in range(len(sort))]
         row_names = [f"r{i}" for i in range(len(order))]
-        if keys or (distinct and order) or limit is not None or offset:
+        if keys or (distinct and order) or limit is not None or offset or self.keep_order:
             df = df.select(*wanted, *[c.alias(n) for c, n in zip(sort, sort_names, strict=True)], *[c.alias(n) for c, n in zip(order, row_names, strict=True)])
         else:
             df = df.select(*wanted)
             row_names = []
         if distinct:
             folded = [C.fold(F.col(n)) if t.collation == "NOCASE" and t.cls == "TEXT" else F.col(n) for n, t in zip(out_names, outs, strict=True)]
-            plain = not sort_names and all(t.collation != "NOCASE" for t in outs)
+            plain = not sort_names and not self.keep_order and all(t.collation != "NOCASE" for t in outs)
             if plain and limit is None and not offset:
                 df, row_names = df.select(*out_names).distinct(), []
             else:  # the first row of each
                 first = F.struct(*row_names) if row_names else F.lit(0)
                 whole = F.min_by(F.struct(*df.columns), first).alias("w")
                 df = df.groupBy(*[f.alias(f"g{i}") for i, f in enumerate(folded)]).agg(whole).select("w.*")
-        if sort_names or ((limit is not None or offset) and row_names):
-            by = [F.col(n).desc_nulls_last() if d else F.col(n).asc_nulls_first() for n, (_, d) in zip(sort_names, keys, strict=True)]
-            df = df.orderBy(*by, *[F.col(n).asc_nulls_first() for n in row_names])
+        by = [F.col(n).desc_nulls_last() if d else F.col(n).asc_nulls_first() for n, (_, d) in zip(sort_names, keys, strict=True)]
+        by += [F.col(n).asc_nulls_first() for n in row_names]
+        if limit is not None or offset or (sort_names and not self.keep_order):
+            df = df.orderBy(*by) if by else df
         if offset:
             df = df.offset(offset)
         if limit is not None:
             df = df.limit(limit)
         types = [replace(as_int(t), col=F.col(n), const=NOT_CONSTANT) if t.cls != "JSON" else Typed(F.col(n), "TEXT") for n, t in zip(out_names, outs, strict=True)]
-        return Query(df.select(*out_names), names, types)
+        return Query(df, names, types, by) if self.keep_order else Query(df.select(*out_names), names, types)
 
     # --- aggregates
 
@@ -329,12 +332,16 @@ class Selector:
         many = not (s.group or any(c.name in AGGREGATES for i in s.items if i.expr is not None for c in _walk(i.expr)))
         if s.group or (many and s.limit is None):
             s = replace(s, limit=A.Literal(1))  # the first row counts
+        keep, self.keep_order = self.keep_order, False
         q = self.select(s, scope)
+        self.keep_order = keep
         t = q.types[0]
         return Typed(q.df.select("o0").scalar(), t.cls)
 
     def compound(self, c: A.Compound) -> Query:
+        keep, self.keep_order = self.keep_order, False
         arms = [self.select(a) for a in c.arms]
+        self.keep_order = keep
         n = len(arms[0].names)
         if any(len(a.names) != n for a in arms):
             raise SyntaxFault("the arms of a UNION have different numbers of columns")
