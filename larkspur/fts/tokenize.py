@@ -26,9 +26,11 @@ def unicode61(text: Column, remove_diacritics: int = 1) -> Column:
 def trigram(text: Column, case_sensitive: bool = False) -> Column:
     """All windows of three characters."""
     t = text if case_sensitive else F.lower(text)
-    n = F.length(t)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))
-    return F.when(n >= 3, grams).otherwise(F.array().cast("array<string>"))
+    chars = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))  # once: a substring of a long text is found from its beginning
+    n = F.greatest(F.length(t) - 2, F.lit(0))
+    part = lambda i: F.slice(chars, F.lit(i), n)
+    joined = lambda a, b: F.concat(a, b)
+    return F.zip_with(F.zip_with(part(1), part(2), joined), part(3), joined)
 
 
 class Tokenizer:
@@ -56,12 +58,12 @@ class Tokenizer:
         else:
             raise Unsupported(f"tokenizer {kind}")
 
-    def terms(self, spark, text: str) -> list[str]:
-        """The terms of one query string."""
+    def terms(self, spark, texts: list[str]) -> list[list[str]]:
+        """The terms of each query string."""
         from .porter import stem
 
-        out = spark.range(1).select(self.split(F.lit(text)).alias("t")).first()["t"]
-        return [stem(t) for t in out] if self.stems else out
+        out = spark.range(1).select(F.array(*[self.split(F.lit(t)) for t in texts]).alias("t")).first()["t"]
+        return [[stem(t) for t in terms] if self.stems else terms for terms in out]
 
 
 __all__ = ["Tokenizer", "trigram", "unicode61"]

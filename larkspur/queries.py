@@ -46,13 +46,29 @@ def _sql(text: str, params=()) -> Callable:
 def _fts(text: str, params=(), tokenize: str = "unicode61") -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = engine(spark, sf_dir)
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("docid"), F.col("text").alias("body"), F.col("source"))
-        e.register_fts(FtsIndex(spark, "fts", ["body", "source"], tokenize).build(docs))
+        e.register_fts(index_of(spark, sf_dir, tokenize))
         return e.sql(text, params)
 
     return run
 
 
+_built: dict[tuple, str] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str, tokenize: str = "unicode61", again: bool = False) -> FtsIndex:
+    """The index of documents, built once for each state of the table's files and kept in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))
+    key = (spark.sparkContext.applicationId, sf_dir, tokenize, files)
+    index = FtsIndex(spark, "fts", ["body", "source"], tokenize)
+    if key in _built and not again:
+        return index.load(_built[key])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("docid"), F.col("text").alias("body"), F.col("source"))
+    _built[key] = f"{shared_folder(spark)}/fts-{uuid.uuid4().hex}"
+    return index.build(docs, _built[key])
+
+
 def _written(steps: list, result: str) -> Callable:
     """Statements on managed tables of their own, then a query."""
 
