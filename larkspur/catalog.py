@@ -12,6 +12,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,7 @@ class TableInfo:
     high: int = 0  # the highest row id ever, with autoincrement
     indexes: dict = field(default_factory=dict)  # name: [columns, unique]
     foreign: list = field(default_factory=list)  # [column, parent table, action]
-    data: str = ""
+    data: list = field(default_factory=list)  # folders of Parquet files, whose rows together are the table
 
     def column(self, name: str) -> ColumnInfo:
         for c in self.columns:
@@ -63,7 +64,7 @@ class FtsInfo:
     name: str
     columns: list
     options: dict
-    data: str = ""
+    data: list = field(default_factory=list)  # ["add", folder of an index] or ["del", folder of document ids], each after those before it
 
 
 @dataclass
@@ -114,12 +115,16 @@ class Files:
     def commit(self, c: Catalog) -> None:
         """Fails if another writer was first: the new name must not exist."""
         name = f"catalog/{c.version:012d}.json"
+        try:  # one writer gets the version's lock file
+            self.fs.create(self._path(f"lock/{c.version:012d}"), False).close()
+        except Py4JJavaError as e:
+            raise RuntimeError(f"catalog version {c.version} was written by another writer") from e
         draft = self._path(f"catalog/.{uuid.uuid4().hex}")
         out = self.fs.create(draft, False)
         out.write(bytearray(c.dump().encode()))
         out.close()
-        if self.fs.exists(self._path(name)) or not self.fs.rename(draft, self._path(name)):
-            raise RuntimeError(f"catalog version {c.version} was written by another writer")
+        if not self.fs.rename(draft, self._path(name)):
+            raise RuntimeError(f"catalog version {c.version} could not be written")
 
     def new(self, table: str) -> str:
         return f"{self.root}/data/{table}/{uuid.uuid4().hex}"
@@ -129,21 +134,32 @@ class Files:
         to = self.jvm.org.apache.hadoop.fs.Path(target)
         self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self._path(""), to.getFileSystem(conf), to, False, True, conf)
 
-    def drop_old(self, keep: set) -> None:
-        """Deletes data directories that no catalog in use names."""
-        base = self._path("data")
-        if self.fs.exists(base):
-            for t in self.fs.listStatus(base):
-                for v in self.fs.listStatus(t.getPath()):
-                    if str(v.getPath().toUri().getPath()) not in keep:
-                        self.fs.delete(v.getPath(), True)
+    def delete(self, paths: list) -> None:
+        for p in paths:
+            self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(p), True)
+
+    def vacuum(self, c: Catalog) -> int:
+        """Deletes data that the catalog does not name, and older catalogs, which readers may still hold.  Not while a writer is at work."""
+        keep = {p.rsplit("/", 1)[1] for t in c.tables.values() for p in t.data} | {p.rsplit("/", 1)[1] for f in c.fts.values() for _, p in f.data}
+        base, n = self._path("data"), 0
+        for t in self.fs.listStatus(base) if self.fs.exists(base) else []:
+            for v in self.fs.listStatus(t.getPath()):
+                if v.getPath().getName() not in keep:
+                    self.fs.delete(v.getPath(), True)
+                    n += 1
+        for s in self.fs.listStatus(self._path("lock")):  # also that of a writer that died
+            self.fs.delete(s.getPath(), False)
+        for s in self.fs.listStatus(self._path("catalog")):
+            if s.getPath().getName() < f"{c.version:012d}.json":
+                self.fs.delete(s.getPath(), False)
+        return n
 
 
 def read(spark: SparkSession, t: TableInfo) -> DataFrame:
     """Columns that older files lack read as their defaults."""
     if not t.data:
         return spark.createDataFrame([], t.schema())
-    df = spark.read.schema(t.schema()).parquet(t.data)
+    df = spark.read.schema(t.schema()).parquet(*t.data)
     if t.pk:
         df = df.withColumn(t.pk, F.col(ROWID))
     return df
