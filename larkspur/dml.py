@@ -562,14 +562,16 @@ class Writer:
                 for r in s.rows:
                     if len(r) != len(names):
                         raise SyntaxFault(f"{len(names)} columns but {len(r)} values")
-                    part = mine.select(F.col(K.ROWID).alias("__by0"), F.lit(steps).alias("__by1"), *[self.typed(low.lower(e), target.column(n)).alias(n) for e, n in zip(r, names, strict=True)])
-                    inserts.setdefault((s.table, tuple(names)), []).append((s, part))
+                    given = {n: self.typed(low.lower(e), target.column(n)) for e, n in zip(r, names, strict=True)}
+                    inserts.setdefault(s.table, []).append((s, steps, mine, given))
                     steps += 1
-        for (name, names), parts in inserts.items():
+        for name, parts in inserts.items():  # rows of all statements in turn: row by row, and of a row statement by statement
             target = self.info(name)
-            every = reduce(DataFrame.unionByName, [p for _, p in parts])
-            numbered = self.ordered(every, [F.col("__by0"), F.col("__by1")], [F.col(f"`{n}`") for n in names])
-            self.insert_rows(target, numbered, list(names), parts[0][0], (), {})
+            cols = [c for c in target.columns if any(c.name in given for *_, given in parts)]
+            value = lambda c, given: given.get(c.name, F.lit(now_text() if c.default_now else c.default).cast(K.SPARK[c.type]))
+            rows = [mine.select(F.col(K.ROWID).alias("__by0"), F.lit(step).alias("__by1"), *[value(c, given).alias(c.name) for c in cols]) for _, step, mine, given in parts]
+            numbered = self.ordered(reduce(DataFrame.unionByName, rows), [F.col("__by0"), F.col("__by1")], [F.col(f"`{c.name}`") for c in cols])
+            self.insert_rows(target, numbered, [c.name for c in cols], parts[0][0], (), {})
 
     def fts_set(self, s, rows: DataFrame, low: Lowerer) -> None:
         info = self.catalog.fts[s.table]

@@ -97,15 +97,16 @@ def instr(h: Column, n: Column) -> Column:
 def substr(s: Column, start: Column, length: Column | None) -> Column:
     """1-based; a negative start counts from the end, a negative length takes what stands before the start."""
     n = F.length(s)
-    size = F.lit(1 << 31) if length is None else length
-    start, size = F.greatest(F.least(start, F.lit(1 << 31)), F.lit(-(1 << 31))), F.greatest(F.least(size, F.lit(1 << 31)), F.lit(-(1 << 31)))
+    size = F.lit(1 << 30).cast("long") if length is None else length
+    known = s.isNotNull() & start.isNotNull() & size.isNotNull()
+    most = F.lit(1 << 30).cast("long")  # longer than any text
+    start, size = F.greatest(F.least(start, most), -most), F.greatest(F.least(size, most), -most)
     raw = F.when(start < 0, n + start).when(start > 0, start - 1).otherwise(F.lit(0).cast("long"))
     cut = F.when((start < 0) & (raw < 0) & (size > 0), F.greatest(size + raw, F.lit(0))).when((start == 0) & (size > 0), size - 1).otherwise(size)
     begin = F.greatest(raw, F.lit(0))
     first = F.when(cut < 0, F.greatest(begin + cut, F.lit(0))).otherwise(begin)
     many = F.when(cut < 0, F.least(-cut, begin)).otherwise(cut)
-    known = s.isNotNull() & start.isNotNull() & size.isNotNull()
-    return F.when(known, F.substring(s, (first + 1).cast("int"), F.least(many, F.lit((1 << 31) - 1)).cast("int")))
+    return F.when(known, F.substring(s, (first + 1).cast("int"), many.cast("int")))
 
 
 # --- JSON

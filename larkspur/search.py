@@ -7,63 +7,87 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 
-COLUMNS = (
-    "key", "title", "role", "role_heading", "abstract_text", "declaration_text", "platforms_json", "framework", "source_type", "source_metadata",
-    "is_deprecated", "is_beta", "is_release_notes", "kind", "language", "url_depth",
+from .errors import EngineError
+from .functions.values import fold
+
+PLATFORMS = ("ios", "macos", "watchos", "tvos", "visionos")
+#: What a request gets, in this order (fixed names): output name and column of documents; None: made by the query.
+OUTPUT = (
+    ("path", "key"), ("title", "title"), ("role", "role"), ("role_heading", "role_heading"), ("abstract", "abstract_text"), ("declaration", "declaration_text"), ("platforms", "platforms_json"),
+    *((f"min_{p}", f"min_{p}") for p in PLATFORMS), ("framework", None), ("root_slug", None), ("source_type", "source_type"), ("source_metadata", "source_metadata"), ("url_depth", "url_depth"),
+    ("is_release_notes", "is_release_notes"), ("is_deprecated", "is_deprecated"), ("is_beta", "is_beta"), ("doc_kind", "kind"), ("language", "language"), ("rank", None), ("tier", None),
 )
+#: Columns of the full-text table and their weights (fixed values).
+WEIGHTS = {"title": 10.0, "abstract": 5.0, "declaration": 3.0, "headings": 2.0, "key": 1.0}
+#: Columns that a denormalised documents table has besides, as expressions over documents d and roots r.
+DENORMALISED = {
+    "root_display": "COALESCE(r.display_name, d.framework)",
+    "root_slug": "COALESCE(r.slug, d.framework)",
+    "title_lc": "LOWER(d.title)",
+    "key_lc": "LOWER(d.key)",
+    "year_num": "CAST(json_extract(d.source_metadata, '$.year') AS INTEGER)",
+    "track_lc": "LOWER(COALESCE(json_extract(d.source_metadata, '$.track'), ''))",
+}
 
 
 @dataclass
 class Params:
-    """A request; None means no filter."""
+    """A request; None means no filter.  raw is the user's own text, which decides the tier."""
 
     query: str
     raw: str = ""
     limit: int = 20
     framework: str | None = None
     source_type: str | None = None
-    kind: str | None = None
-    language: str | None = None
+    sources_json: str | None = None  # a JSON array of source types
+    kind: str | None = None  # of role_heading, kind or role, in any case
+    language: str | None = None  # "both": no filter
     year: int | None = None
-    track: str | None = None
-    deprecated: int | None = None
-    frameworks: str | None = None  # a JSON array
+    track_like: str | None = None  # a LIKE pattern
+    deprecated_mode: str | None = "include"  # or "exclude" or "only"
+    min_ios: int | None = None
+    min_macos: int | None = None
+    min_watchos: int | None = None
+    min_tvos: int | None = None
+    min_visionos: int | None = None
 
     def bind(self) -> dict:
-        return {f.name: getattr(self, f.name) for f in fields(self)} | {"exact": self.raw.lower(), "prefix": self.raw.lower() + "%"}
-
-
-_FILTERS = """
-  AND ($framework IS NULL OR d.framework = $framework)
-  AND ($source_type IS NULL OR d.source_type = $source_type)
-  AND ($kind IS NULL OR d.kind = $kind)
-  AND ($language IS NULL OR d.language IS NULL OR d.language = $language)
-  AND ($deprecated IS NULL OR d.is_deprecated = $deprecated)
-  AND ($frameworks IS NULL OR d.framework IN (SELECT value FROM json_each($frameworks)))
-"""
+        out = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "deprecated_mode"}
+        mode = self.deprecated_mode or "include"
+        if mode not in ("include", "exclude", "only"):
+            raise EngineError(f"deprecated_mode {mode}")
+        return out | {"exact": fold(self.raw), "dep_exclude": 1 if mode == "exclude" else None, "dep_only": 1 if mode == "only" else None}
 
 
 def _select(denormalised: bool) -> str:
-    title, key = ("d.title_lc", "d.key_lc") if denormalised else ("LOWER(d.title)", "LOWER(d.key)")
-    root = "d.root_display, d.root_slug" if denormalised else "COALESCE(r.display_name, d.framework) AS root_display, COALESCE(r.slug, d.framework) AS root_slug"
-    year = "d.year_num" if denormalised else "CAST(json_extract(d.source_metadata, '$.year') AS INTEGER)"
-    track = "d.track_lc" if denormalised else "LOWER(json_extract(d.source_metadata, '$.track'))"
-    tier = f"CASE WHEN {title} = $exact THEN 0 WHEN {key} = $exact THEN 1 WHEN {title} LIKE $prefix THEN 2 ELSE 3 END"
-    join = "" if denormalised else "LEFT JOIN roots r ON r.slug = d.framework"
-    return f"""
-SELECT {', '.join('d.' + c for c in COLUMNS)}, {root}, {tier} AS tier, f.rank AS rank
-FROM documents_fts f JOIN documents d ON f.rowid = d.id {join}
-WHERE documents_fts MATCH $query {_FILTERS}
-  AND ($year IS NULL OR {year} = $year)
-  AND ($track IS NULL OR {track} = LOWER($track))
-ORDER BY tier, rank LIMIT $limit
-"""
+    made = {n: f"d.{n}" for n in DENORMALISED} if denormalised else DENORMALISED
+    tests = [f"{made['title_lc']} = $exact", f"{made['key_lc']} = $exact", f"{made['title_lc']} LIKE $exact || '%'", f"INSTR({made['title_lc']}, $exact) > 0"]
+    tier = "CASE " + " ".join(f"WHEN {t} THEN {n}" for t, n in zip(tests, (0, 0, 1, 2), strict=True)) + " ELSE 3 END"
+    weights = ", ".join(str(w) for w in WEIGHTS.values())
+    more = {"framework": made["root_display"], "root_slug": made["root_slug"], "rank": f"bm25(documents_fts, {weights})", "tier": tier}
+    shown = ", ".join(f"{more[n] if c is None else 'd.' + c} AS {n}" for n, c in OUTPUT)
+    where = ["documents_fts MATCH $query"]
+    given = lambda p, test: where.append(f"(${p} IS NULL OR {test})")
+    given("framework", "d.framework = $framework")
+    given("source_type", "d.source_type = $source_type")
+    given("sources_json", "d.source_type IN (SELECT value FROM json_each($sources_json))")
+    given("kind", " OR ".join(f"LOWER(d.{c}) = LOWER($kind)" for c in ("role_heading", "kind", "role")))
+    given("language", "$language = 'both' OR d.language = $language")
+    given("year", f"{made['year_num']} = $year")
+    given("track_like", f"{made['track_lc']} LIKE $track_like")
+    given("dep_exclude", "d.is_deprecated = 0")
+    given("dep_only", "d.is_deprecated = 1")
+    for p in PLATFORMS:
+        given(f"min_{p}", f"d.min_{p}_num IS NULL OR d.min_{p}_num <= $min_{p}")
+    roots = "" if denormalised else " LEFT JOIN roots r ON r.slug = d.framework"
+    return f"SELECT {shown} FROM documents_fts JOIN documents d ON documents_fts.rowid = d.id{roots} WHERE {' AND '.join(where)} ORDER BY tier, rank LIMIT $limit"
 
 
 SQL, SQL_DENORMALISED = _select(False), _select(True)
 
 
 def search(engine, p: Params, denormalised: bool = False) -> DataFrame:
+    """denormalised: documents has the columns of DENORMALISED, and roots is not read; the rows are the same."""
     return engine.sql(SQL_DENORMALISED if denormalised else SQL, p.bind())
 
 

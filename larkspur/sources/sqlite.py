@@ -1,7 +1,7 @@
 """Importing SQLite files: tables, indexes, full-text indexes and build-time denormalisation.
 
 SQLite files are read by the driver (there is no distributed reader of them), batch by
-batch, so memory stays bounded; what is written is Parquet.
+batch: each is written to the tables' folder, so the driver never holds more than one.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ import sqlite3
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, TypeFault
 
-BATCH = 10_000
+BATCH = 50_000
+#: Where a row stood in the file.
+PLACE = "__place"
 _ARROW = {"INTEGER": pa.int64(), "REAL": pa.float64(), "TEXT": pa.string(), "BLOB": pa.binary()}
 
 
@@ -126,13 +127,16 @@ def _table(engine, db: sqlite3.Connection, t: str, m: Manifest) -> None:
     names = list(kinds)
     cursor = db.execute(f"SELECT {', '.join(map(quote, names))} FROM {quote(t)} ORDER BY rowid" if single or not keys else f"SELECT {', '.join(map(quote, names))} FROM {quote(t)}")
     schema = pa.schema([(n, _ARROW[kinds[n]]) for n in names])
-    frame: DataFrame | None = None
+    staged, n = engine.files.new("import"), 0
     while rows := cursor.fetchmany(BATCH):
-        cols = [pa.array([coerce(r[i], kinds[n]) for r in rows], _ARROW[kinds[n]]) for i, n in enumerate(names)]
-        part = engine.spark.createDataFrame(pa.Table.from_arrays(cols, schema=schema))
-        frame = part if frame is None else frame.unionByName(part)
-    if frame is not None:
-        engine.load(t, frame)
+        cols = [pa.array([coerce(r[i], kinds[c]) for r in rows], _ARROW[kinds[c]]) for i, c in enumerate(names)]
+        place = pa.array(range(n, n + len(rows)), pa.int64())
+        part = engine.spark.createDataFrame(pa.Table.from_arrays([*cols, place], schema=schema.append(pa.field(PLACE, pa.int64()))))
+        part.coalesce(1).write.mode("append").parquet(staged)
+        n += len(rows)
+    if n:
+        engine.load(t, engine.spark.read.parquet(staged), PLACE)
+        engine.files.delete([staged])
     for _, name, unique, origin, partial in db.execute(f"PRAGMA index_list({quote(t)})").fetchall():
         cols = [r[2] for r in db.execute(f"PRAGMA index_info({quote(name)})").fetchall()]
         if origin == "pk" or partial or None in cols:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Engine
@@ -20,7 +21,7 @@ APPLIED = "stream_batches"
 def _once(engine: Engine, name: str, number: int, f: Callable) -> None:
     def run(e: Engine) -> None:
         e.run(f"CREATE TABLE IF NOT EXISTS {APPLIED} (stream TEXT, batch INTEGER, PRIMARY KEY (stream, batch))")
-        seen = e.writer.rows(e.writer.info(APPLIED)).where(f"stream = '{name}' and batch = {number}").limit(1).count()
+        seen = e.writer.rows(e.writer.info(APPLIED)).where((F.col("stream") == F.lit(name)) & (F.col("batch") == F.lit(number))).limit(1).count()
         if not seen:
             f(e)
             e.run(f"INSERT INTO {APPLIED}(stream, batch) VALUES (?, ?)", (name, number))

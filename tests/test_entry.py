@@ -47,13 +47,17 @@ def test_entry(spark):
 
 
 def test_without_the_removable_parts(tmp_path):
-    """The entry module imports and lists the dialect's queries where the other folders are absent."""
+    """The entry module imports and lists the dialect's queries where the two folders are absent, with and without the pipeline's module."""
     import os
     import shutil
 
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
-    code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for folder in ("larkspur/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / "r" / folder, ignore_errors=True)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
     env = {**os.environ, "PYTHONPATH": ""}
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env=env)
-    assert out.stdout.split() == [str(len(Q.queries())), "False"], out.stderr
+    for more in ("", "corpus_pipeline.py"):
+        (tmp_path / "r" / (more or "none")).unlink(missing_ok=True)
+        out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env=env)
+        assert out.stdout.split() == [str(len(Q.queries())), str(len(Q.oracle_sql())), "False"], out.stderr

@@ -6,7 +6,7 @@ import pytest
 from larkspur import Engine
 from larkspur.cli import main
 from larkspur.errors import EngineError
-from larkspur.search import Params, frame, search, search_framed, unframe
+from larkspur.search import DENORMALISED, PLATFORMS, SQL, WEIGHTS, Params, frame, search, search_framed, unframe
 from larkspur.sources.keyvalue import KeyValue
 from larkspur.sources.sqlite import Derived, Lookup, Manifest, declared_type, import_sqlite
 from larkspur.streaming.ingest import into_fts, into_table
@@ -25,11 +25,17 @@ def test_key_value(spark, tmp_path):
         kv.put([(b"\0a", b"")])
 
 
+INTS = ("id", "is_deprecated", "is_beta", "is_release_notes", "url_depth", *[f"min_{p}_num" for p in PLATFORMS])
+
+
 def documents():
-    cols = "id, key, title, role, role_heading, abstract_text, declaration_text, platforms_json, framework, source_type, source_metadata, is_deprecated, is_beta, is_release_notes, kind, language, url_depth"
+    cols = ["id", "key", "title", "role", "role_heading", "abstract_text", "declaration_text", "headings", "platforms_json", *[f"min_{p}_num" for p in PLATFORMS], *[f"min_{p}" for p in PLATFORMS], "framework", "source_type", "source_metadata", "is_deprecated", "is_beta", "is_release_notes", "kind", "language", "url_depth"]
     rows = []
-    for i in range(1, 31):
-        rows.append((i, f"kit{i % 3}/view{i}", "View" if i == 9 else f"View number {i}", "symbol", None, f"Shows view {i} " + "text " * (i % 5), None, "[]", f"kit{i % 4}" if i % 6 else None, "docs" if i % 2 else "video", '{"year":%d,"track":"Design"}' % (2019 + i % 3), i % 5 == 0, 0, 0, "class", None if i % 7 else "swift", i % 4))
+    for i in range(1, 41):
+        least = [None if (i + k) % 4 == 0 else (i * (k + 2)) % 17 for k in range(5)]
+        about = (None, "{}", '{"year":"%d","track":"Design"}' % (2018 + i % 4), '{"year":%d,"track":"design tools"}' % (2018 + i % 4))[i % 4]
+        title = {9: "View", 10: "VIEW", 11: "viewer", 12: "A view of it"}.get(i, f"Sheet number {i}")
+        rows.append((i, "view" if i == 13 else f"kit{i % 3}/view{i}", title, ("symbol", "Article", None)[i % 3], "Class" if i % 5 else None, f"Shows view {i} " + "view text " * (i % 5), f"func view{i}()", "more views", "[]", *least, *[None if v is None else f"{v}.0" for v in least], f"kit{i % 4}" if i % 6 else None, ("docs", "video", None)[i % 3], about, i % 2, i % 3 % 2, 0, ("class", "func")[i % 2], ("swift", "objc", None)[i % 3], i % 4))
     return cols, rows
 
 
@@ -38,9 +44,9 @@ def sqlite_file(tmp_path):
     path = tmp_path / "in.db"
     db = sqlite3.connect(path)
     cols, rows = documents()
-    kinds = {"id": "INTEGER PRIMARY KEY", "is_deprecated": "BOOLEAN_INT", "url_depth": "INT", "is_beta": "INT", "is_release_notes": "INT"}
-    db.execute(f"CREATE TABLE documents ({', '.join(c + ' ' + kinds.get(c, 'VARCHAR(20)') for c in cols.split(', '))})")
-    db.executemany(f"INSERT INTO documents VALUES ({','.join('?' * 17)})", rows)
+    kinds = {c: "INT" for c in INTS} | {"id": "INTEGER PRIMARY KEY", "is_deprecated": "BOOLEAN_INT"}
+    db.execute(f"CREATE TABLE documents ({', '.join(c + ' ' + kinds.get(c, 'VARCHAR(20)') for c in cols)})")
+    db.executemany(f"INSERT INTO documents VALUES ({','.join('?' * len(cols))})", rows)
     db.execute("CREATE UNIQUE INDEX dk ON documents(key, id)")
     db.execute("CREATE TABLE roots (slug TEXT PRIMARY KEY, display_name TEXT)")
     db.executemany("INSERT INTO roots VALUES (?,?)", [("kit1", "Kit One"), ("kit2", None)])
@@ -49,25 +55,44 @@ def sqlite_file(tmp_path):
     return str(path)
 
 
+_own = lambda n: DENORMALISED[n].replace("d.", "")
 MANIFEST = Manifest(
-    fts={"documents_fts": {"table": "documents", "columns": ["title", "abstract_text", "key"], "tokenize": "porter unicode61"}},
-    derived={"documents": [Derived("title_lc", "TEXT", "LOWER(title)"), Derived("key_lc", "TEXT", "LOWER(key)"), Derived("year_num", "INTEGER", "CAST(json_extract(source_metadata, '$.year') AS INTEGER)"), Derived("track_lc", "TEXT", "LOWER(json_extract(source_metadata, '$.track'))")]},
+    derived={"documents": [Derived(n, t, _own(n)) for n, t in (("title_lc", "TEXT"), ("key_lc", "TEXT"), ("year_num", "INTEGER"), ("track_lc", "TEXT"))]},
     lookups={"documents": [Lookup("root_display", "TEXT", "roots", "framework", "slug", "display_name", "framework"), Lookup("root_slug", "TEXT", "roots", "framework", "slug", "slug", "framework")]},
 )
+REQUESTS = [
+    Params("view", "view", 50), Params("view", "View", 7), Params("view OR number", "a VIEW", 50), Params("view", "KIT1/view4", 50), Params("view*", "", 50, framework="kit1"),
+    Params("view", "view", 50, source_type="docs"), Params("view", "view", 50, sources_json='["docs", 3, null]'), Params("view", "view", 50, kind="CLASS"), Params("view", "view", 50, kind="article"),
+    Params("view", "view", 50, language="swift"), Params("view", "view", 50, language="both"), Params("view", "view", 50, year=2020), Params("view", "view", 50, track_like="design%"),
+    Params("view", "view", 50, track_like=""), Params("view", "view", 50, deprecated_mode="exclude"), Params("view", "view", 50, deprecated_mode="only", year=2019),
+    *[Params("view", "view", 50, **{f"min_{p}": 6}) for p in PLATFORMS], Params("nothing", "view"),
+]
 
 
 def test_import_search_and_framing(spark, tmp_path, sqlite_file):
     e = Engine(spark, f"file://{tmp_path}/e")
     assert sorted(import_sqlite(e, sqlite_file, MANIFEST)) == ["documents", "roots"]
     cols, rows = documents()
-    assert [tuple(r) for r in e.prepare(f"SELECT {cols} FROM documents ORDER BY id").all()] == [tuple(int(v) if isinstance(v, bool) else v for v in r) for r in rows]
+    assert [tuple(r) for r in e.prepare(f"SELECT {', '.join(cols)} FROM documents ORDER BY id").all()] == rows
     assert e.catalog.tables["documents"].indexes["dk"] == [["key", "id"], True]
-    for p in (Params("view", "view"), Params("view*", "View", limit=50, year=2020), Params("shows", framework="kit1"), Params("view", frameworks='["kit1","kit2"]', deprecated=0), Params("view", language="swift", track="DESIGN", source_type="docs")):
-        a, b = search(e, p).collect(), search(e, p, denormalised=True).collect()
-        assert a == b and len(a) > 0
-    assert search(e, Params("view", "view")).first()["tier"] == 0
+    # the same statements on sqlite3, whose full-text module has the same tokens and scores
+    lite = sqlite3.connect(sqlite_file)
+    fts = f"CREATE VIRTUAL TABLE documents_fts USING fts5({', '.join(WEIGHTS)}, tokenize='porter unicode61')"
+    fill = f"INSERT INTO documents_fts(rowid, {', '.join(WEIGHTS)}) SELECT id, title, abstract_text, declaration_text, headings, key FROM documents"
+    for s in (fts, fill):
+        lite.execute(s)
+        e.run(s)
+    near = lambda rows: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows]
+    for k, p in enumerate(REQUESTS):
+        want = lite.execute(SQL, p.bind()).fetchall()
+        assert near(map(tuple, search(e, p).collect())) == near(want), p
+        if k % 3 == 0:
+            assert near(map(tuple, search(e, p, denormalised=True).collect())) == near(want), p
+    assert len(search(e, REQUESTS[0]).columns) == 24
+    with pytest.raises(EngineError):
+        search(e, Params("view", deprecated_mode="maybe"))
     n, got = unframe(search_framed(e, Params("view", "view", limit=5)))
-    assert n == 20 and len(got) == 5 and got[0][1] == "View"
+    assert n == 24 and len(got) == 5 and got[0][1] == "View"
 
 
 def test_frame_bytes():
