@@ -10,17 +10,24 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
 _OWN: list[str] = []
+#: A page or row group is looked at after a few rows, not only after a hundred: packed values are long, and a writer holds what it has not written.
+PARQUET = {"parquet.page.size.row.check.min": "4", "parquet.block.size.row.check.min": "4", "parquet.block.size": str(32 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset (as in tests), one temporary folder for this process."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="larkspur-"))
         place = _OWN[0]
@@ -33,12 +40,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**PARQUET).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._larkspur_path = path
     return out
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of some rows that the driver has; as Arrow, so that no Python worker unpickles them."""
+    kinds = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kinds)
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow), kinds)
+
+
 def drop(*tables: DataFrame | str) -> None:
     """Deletes staged tables (or paths) that are of no more use."""
     for t in tables:

@@ -63,6 +63,7 @@ def lean(run):
 
 
 def give_back() -> None:
+    _TABLES.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -19,12 +19,12 @@ is the draw over all sources.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import drop, n_words, stage
+from ._store import drop, local_table, n_words, stage
 
 GROUPS = 1024
 #: numpy draws from at most 10^9 blocks; with very many sources, each has fewer blocks.
@@ -93,7 +93,7 @@ def _goals(keys: DataFrame, weights: tuple, share: float, most: float) -> DataFr
     for r in ranked.groupBy(part.alias("p")).count().orderBy("p").collect():
         before.append((r["p"], at))
         at += r["count"]
-    offsets = spark.createDataFrame(before, "p long, before long")
+    offsets = local_table(spark, before, "p long, before long")
     turn = F.pmod(F.col("before") + F.col("i").bitwiseAND((1 << 33) - 1), F.lit(len(weights)))
     weighed = ranked.withColumn("p", part).join(F.broadcast(offsets), "p")  # as many rows as the sort had partitions
     weighed = stage(weighed.select("s", "n", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")).alias("w")), "mix-weights")
@@ -118,14 +118,14 @@ def _tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     grouped = quotas.withColumn("g", F.pmod(F.xxhash64("s"), F.lit(GROUPS)).cast("int"))
     totals = sorted((r["g"], int(r["q"])) for r in grouped.groupBy("g").agg(F.sum("quota").alias("q")).collect())  # GROUPS rows at most
     by_group = quotas_by_shard(np.array([q for _, q in totals], np.int64), shards, seed) if totals else []
-    table = spark.createDataFrame([(g, [int(x) for x in row]) for (g, _), row in zip(totals, by_group, strict=True)], "g int, columns array<long>")
+    table = local_table(spark, [(g, row) for (g, _), row in zip(totals, by_group, strict=True)], "g int, columns array<long>")
 
-    def inside(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("s", na_position="last", kind="stable")
-        got = quotas_by_shard(rows["quota"].to_numpy(np.int64), np.asarray(rows["columns"].iloc[0], np.int64), seed + 1 + int(rows["g"].iloc[0]))
-        return pd.DataFrame({"s": rows["s"].to_numpy(), "ends": list(np.cumsum(got, 1))})
+    def inside(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("s")
+        got = quotas_by_shard(rows["quota"].to_numpy(), np.array(rows["columns"][0].as_py()), seed + 1 + rows["g"][0].as_py())
+        return pa.table({"s": rows["s"], "ends": pa.array(list(np.cumsum(got, 1)), pa.list_(pa.int64()))})
 
-    return grouped.join(F.broadcast(table), "g").groupBy("g").applyInPandas(inside, "s string, ends array<long>")
+    return grouped.join(F.broadcast(table), "g").groupBy("g").applyInArrow(inside, "s string, ends array<long>")
 
 
 def _drawn(keys: DataFrame, goals: DataFrame, shards: int, blocks: int, seed: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._store import drop, stage
+from ._store import drop, local_table, stage
 
 BITS = 12  # of the key that a round refines
 
@@ -75,7 +75,7 @@ def _plan(keys: DataFrame, shards: int, tolerance: float) -> tuple[list, list]:
             runs.append((take, s))
             left -= take
         big.append((g["__h"], _row_cuts(keys, g["__h"], runs, slack)))
-    small = keys.join(F.broadcast(keys.sparkSession.createDataFrame([(h,) for h, _ in big], "__h long")), "__h", "left_anti") if big else keys
+    small = keys.join(F.broadcast(local_table(keys.sparkSession, [(h,) for h, _ in big], "__h long")), "__h", "left_anti") if big else keys
     rest = total - sum(g["b"] for g in groups)
     quota = [max(0.0, share - u) for u in used]
     scale = rest / sum(quota) if sum(quota) else 0
@@ -152,7 +152,7 @@ def _placed(df: DataFrame, big: list, cuts: list) -> DataFrame:
     if not big:
         return df.withColumns({"shard": by_h.cast("int"), "__cell": cell("__h")})
     rows = [(h, [r[0] for r in runs], [r[1] for r in runs]) for h, runs in big]
-    small = F.broadcast(spark.createDataFrame(rows, "__h long, __from array<long>, __to array<int>"))
+    small = F.broadcast(local_table(spark, rows, "__h long, __from array<long>, __to array<int>"))
     mine = F.element_at("__to", F.greatest(F.size(F.filter("__from", lambda x: x <= F.col("__r"))), F.lit(1)))
     out = df.join(small, "__h", "left")
     return out.withColumns({
