@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import drop, new_path, parts, stage
+from ._store import drop, new_path, parts, small_batches, stage
+from ._words import lean
 
 #: Fields of the header lines, by version of the format (fixed values).
 FIELDS = {
@@ -64,8 +65,8 @@ def write_arc(pages: DataFrame, path: str, page: str = "page_id", url: str = "ur
     heads = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("kind"))
     heads = heads.withColumn("value", F.when(F.col("file") % 2 == 0, desc(1)).otherwise(desc(2)))
     out = rows.select("file", "kind", record.alias("value")).unionByName(heads)
-    # each file is one task's: as many range partitions as files, whose first row is the head
-    out = out.repartition(files, "file").sortWithinPartitions("file", "kind")
+    # file n is partition n, and its first row is the head
+    out = out.repartitionById(files, F.col("file")).sortWithinPartitions("file", "kind")
     out.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
@@ -145,7 +146,7 @@ def parse_arc(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows, names)
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(lean(run), schema)
 
 
 def _batch(rows: list, names: list) -> pa.RecordBatch:
@@ -154,8 +155,14 @@ def _batch(rows: list, names: list) -> pa.RecordBatch:
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_BYTES) -> None:
-    """ARC files to WARC files.  Of equal payloads of at least ``least`` bytes, the one with the smallest page id (a whole number, else null and last) is the response."""
-    records = parse_arc(read_bytes(spark, arc_path))
+    """ARC files to WARC files.  Of equal payloads of at least ``least`` bytes, the one with the smallest page id (a whole number, else null and last) is the response.
+
+    Of repeated records with equal page ids the first in the order of files is the
+    response, the others revisit it.  Files without records give WARC files without
+    records.  Each file is parsed once.
+    """
+    with small_batches(spark, 4):
+        records = stage(parse_arc(read_bytes(spark, arc_path)), "arc-records")
     order = F.struct(F.col("page").try_cast("long").isNull().alias("none"), F.col("page").try_cast("long").alias("page"), F.col("place"))
     told = records.select("digest", "bytes", F.struct(order.alias("o"), "id", "url", "date", "page").alias("first"))
     firsts = told.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min("first").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -177,7 +184,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     )
     rows.select(F.concat(head.cast("binary"), block).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
-    drop(firsts)
+    drop(firsts, records)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -196,7 +203,11 @@ def warc_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page, payload_bytes, payload_digest, record_type, refers_to, record_id, url, date of each record; digests are computed again and compared."""
+    """page, payload_bytes, payload_digest, record_type, refers_to, record_id, url, date of each record; digests are computed again and compared.
+
+    Repeated records give repeated rows, files without records none; a record that is
+    shorter or longer than it declares is an error.
+    """
     schema = "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, url string, date string"
 
     def run(batches):
@@ -214,11 +225,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((page[1].decode() if page else None, size, declared, kind, f.get("X-Refers-To-Page-Id"), f["WARC-Record-ID"], f["WARC-Target-URI"], f["WARC-Date"]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k == 1 else pa.string()) for k in range(len(names))], names=names)
 
-    return read_bytes(spark, path).mapInArrow(run, schema)
+    return read_bytes(spark, path).mapInArrow(lean(run), schema)
 
 
 def through_archives(pages: DataFrame) -> DataFrame:
-    """pages to ARC files, to WARC files, and what the WARC files hold."""
+    """pages to ARC files, to WARC files, and what the WARC files hold: a row for each page, repeated ones too, and none for an empty table."""
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
