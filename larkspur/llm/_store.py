@@ -38,9 +38,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = new_path(df.sparkSession, name)
-    df.write.options(**PARQUET).parquet(path)
+    df.write.options(compression=compression, **PARQUET).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._larkspur_path = path
     return out

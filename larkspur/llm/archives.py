@@ -162,7 +162,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
     records.  Each file is parsed once.
     """
     with small_batches(spark, 4):
-        records = stage(parse_arc(read_bytes(spark, arc_path)), "arc-records")
+        records = stage(parse_arc(read_bytes(spark, arc_path)), "arc-records", "zstd")
     order = F.struct(F.col("page").try_cast("long").isNull().alias("none"), F.col("page").try_cast("long").alias("page"), F.col("place"))
     told = records.select("digest", "bytes", F.struct(order.alias("o"), "id", "url", "date", "page").alias("first"))
     firsts = told.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min("first").alias("first"), F.count("*").alias("n")).where("n > 1")
