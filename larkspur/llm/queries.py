@@ -62,8 +62,26 @@ FROM f
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.repetition(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    more = ("covered", "longest", "n_repeats")
-    return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n in names], *[F.col(f"__{n}").alias(n) for n in more])
+    return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n in (*names, "covered")])
+
+
+#: Words that a repeat of 8 words covers are those that a longer one covers, and a repeat of more than 60 words is one of 61.
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT r, m, unnest(range(1, len(w) - m + 2)) AS i, w FROM d, (VALUES (3), (8), (61)) v(m) WHERE len(w) >= m),
+g AS (SELECT r, m, i, sha256(array_to_string(w[i : i + m - 1], ' ')) AS h FROM pos),
+twice AS (SELECT r, m, i FROM (SELECT r, m, i, count(*) OVER (PARTITION BY r, m, h) AS n FROM g) WHERE n > 1),
+marks AS (SELECT r, m, count(*) AS n FROM (SELECT DISTINCT r, m, unnest(range(i, i + m)) AS k FROM twice) GROUP BY r, m),
+lines AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+all_ AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(a.n, 0)::BIGINT AS n_repeat_words, coalesce(b.n, 0)::BIGINT AS covered, coalesce(c.n, 0) > 0 AS too_long
+  FROM d LEFT JOIN lines USING (r) LEFT JOIN marks a ON a.r = d.r AND a.m = 3 LEFT JOIN marks b ON b.r = d.r AND b.m = 8 LEFT JOIN marks c ON c.r = d.r AND c.m = 61)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered <= 0.3::DOUBLE * greatest(n_words, 1) AND NOT too_long AS kept, covered
+FROM all_
+"""
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,4 +230,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": OP1_SQL, "op2_arc_to_warc": OP2_SQL, "op4_license_scan": op4_sql(), "op6_jaccard_join": OP6_SQL, "op7_de_bruijn_dedup": OP7_SQL, "op8_positional_index": OP8_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_arc_to_warc": OP2_SQL, "op3_suffix_repetition": OP3_SQL, "op4_license_scan": op4_sql(), "op6_jaccard_join": OP6_SQL, "op7_de_bruijn_dedup": OP7_SQL, "op8_positional_index": OP8_SQL}
