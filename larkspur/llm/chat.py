@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-Turn structs of a conversation are collected and sorted; adjacent turns of one role
-merge into one block; blocks are concatenated.  Template::
+A conversation's turns are sorted; adjacent turns of one role merge into one block, whose
+pieces get their places by a running sum; the structs of all pieces are collected, sorted
+and concatenated.  Template::
 
     <|turn|>ROLE\\nTEXT<|part|>TEXT<|end|>\\n
 
@@ -13,6 +14,7 @@ and backslashes are doubled; ``unescape`` takes both back.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Control strings: those of this template and of other common ones.
@@ -49,29 +51,19 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     like others.  Other columns are not read.  A conversation is one row of the
     result, so its turns meet in one task: its length is bounded by what a row holds.
     """
-    t = turns.select(F.col(conv).alias("__c"), F.struct(F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
-    g = t.groupBy("__c").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    at = lambda k: F.get(F.col("t"), k)
-    begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda k: (k == 0) | (at(k)["role"] != at(F.greatest(k - 1, F.lit(0)))["role"]))
-    g = g.withColumn("b", begins)
-    block = lambda s, k: F.slice("t", s + 1, F.coalesce(F.get(F.col("b"), k + 1), F.size("t")) - s)
-    merged = F.transform("b", lambda s, k: F.struct(at(s)["role"].alias("role"), F.transform(block(s, k), lambda x: escape(x["text"])).alias("texts")))
-    g = g.select("__c", merged.alias("b"))
-    head = lambda x: F.concat(F.lit(TURN), _role(x["role"]), F.lit("\n"))
-    whole = F.transform("b", lambda x: F.concat(head(x), F.array_join(x["texts"], PART), F.lit(END + "\n")))
-    g = g.withColumn("whole", whole)
-    # begin of each block: the running sum of lengths, folded over the blocks
-    starts = F.aggregate("whole", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))))
-    g = g.withColumn("at", starts)
-
-    def parts(x, k):
-        texts = x["texts"]
-        before = lambda j: F.aggregate(F.slice(texts, 1, j), F.lit(0).cast("long"), lambda a, y: a + F.length(y) + len(PART))
-        spans = F.transform(texts, lambda y, j: F.struct((F.get(F.col("at"), k) + F.length(head(x)) + before(j)).alias("start"), F.length(y).cast("long").alias("length")))
-        return F.when(x["role"] == learn, spans).otherwise(F.slice(spans, 1, 0))
-
-    loss = F.flatten(F.transform("b", parts))
-    return g.select(F.col("__c").alias(conv), F.array_join("whole", "").alias("formatted"), F.size("b").cast("long").alias("n_blocks"), loss.alias("loss"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(""))
+    t = turns.select(F.col(conv).alias("c"), F.col(turn).alias("n"), none(role).alias("role"), none(text).alias("text"))
+    order = W.partitionBy("c").orderBy(F.asc_nulls_first("n"), "role", "text")
+    t = t.withColumns({"k": F.row_number().over(order), "last": F.lag("role").over(order), "next": F.lead("role").over(order)})
+    t = t.withColumns({"begins": F.col("last").isNull() | (F.col("last") != F.col("role")), "ends": F.col("next").isNull() | (F.col("next") != F.col("role"))})
+    t = t.withColumns({"said": escape(F.col("text")), "head": F.when(F.col("begins"), F.concat(F.lit(TURN), _role(F.col("role")), F.lit("\n"))).otherwise(F.lit(PART))})
+    t = t.withColumn("piece", F.concat("head", "said", F.when(F.col("ends"), F.lit(END + "\n")).otherwise(F.lit(""))))
+    # where each piece begins: a running sum of lengths
+    before = F.sum(F.length("piece")).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.length("piece")
+    t = t.withColumns({"start": before + F.length("head"), "length": F.length("said").cast("long"), "learn": F.col("role") == learn})
+    g = t.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "piece", "start", "length", "learn"))).alias("p"), F.sum(F.col("begins").cast("long")).alias("n_blocks"))
+    loss = F.transform(F.filter("p", lambda x: x["learn"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return g.select(F.col("c").alias(conv), F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"), "n_blocks", loss.alias("loss"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -83,9 +75,21 @@ def read_turns(formatted: Column) -> Column:
         name = _name(F.substring(b, F.lit(1), cut - 1))
         body = F.substring(b, cut + 1, F.length(b) - cut - len(END) - 1)
         return F.transform(F.split(body, "<\\|part\\|>"), lambda x: F.struct(name.alias("role"), unescape(x).alias("text")))
-    
+
     return F.flatten(F.transform(blocks, of))
 
 
 def learnt_text(formatted: Column, loss: Column) -> Column:
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask.  A text is cut into pieces once; a span is taken from the pieces that it lies in, not counted off from the text's beginning."""
+    size = 1024
+    pieces = F.regexp_extract_all(formatted, F.lit("(?s).{1,%d}" % size), F.lit(0))
+
+    def spans(p: Column) -> Column:
+        def of(s: Column) -> Column:
+            first = F.floor(s["start"] / size).cast("int")
+            many = F.floor((s["start"] + s["length"]) / size).cast("int") - first + 1
+            return unescape(F.substring(F.array_join(F.slice(p, first + 1, many), ""), (s["start"] % size + 1).cast("int"), s["length"].cast("int")))
+
+        return F.transform(loss, of)
+
+    return F.array_join(F.get(F.transform(F.array(pieces), spans), F.lit(0)), "")
