@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each on all that the one before it kept."""
+"""The corpus pipeline: five stages, each on all that the one before it kept.
+
+Every stage reads the columns of documents by name and returns them alone: other columns
+go, whatever their names.  Stages take nulls in any column, empty and very long texts and
+repeated rows; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,11 @@ LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told go on; if no language could be learned, all documents with a letter do."""
+    """Documents whose language is told go on; if no language could be learned, all documents with a letter do.
+
+    A null text, and one without a letter, is rejected.  Labels are only learned from: a
+    null lang is no reason to go.  Equal texts, and so repeated rows, share their fate.
+    """
     model = language_id.fit(docs)
     if model is None:
         return docs.where(F.col("text").rlike("\\p{L}")).select(*COLUMNS)
@@ -23,7 +32,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id, of several such rows the one whose text has the smallest hash."""
+    """One document of each group of near duplicates stays: the one with the smallest id, of several such rows the one whose text has the smallest hash.
+
+    Of repeated rows one stays; of a group in which all ids are null, or one id stands on
+    several texts, one stays as well, the same in every run.  Null and empty texts, and
+    texts without words, are linked with nothing and all stay.
+    """
     found = jaccard.near_duplicates(docs)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("c")
     chosen = stage(found.where("n_shingles > 0").groupBy("component_key").agg(best).select("c.id", "c.k1", "c.k2"), "chosen")
@@ -37,7 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more of the words stand in benchmark passages go."""
+    """Documents of which a twentieth or more of the words stand in benchmark passages go, with all their copies.  Null and empty texts have no words and stay."""
     hits = contamination.contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = hits.where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("text").alias("sha"), F.length("text").alias("m")).distinct()
     bad = stage(bad, "contaminated")
@@ -46,12 +60,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, at most twice.  A null source is a source; documents without words go with their block; of repeated rows as many are taken as the quota asks for."""
     return mixing.mix(docs.select(*COLUMNS))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with shard and slot."""
+    """All documents with shard and slot; null texts count as empty, equal texts stand in one shard, repeated rows all stay."""
     return sharding.shard(docs.select(*COLUMNS))
 
 
