@@ -1,4 +1,7 @@
-"""An ordered store of byte keys and values as immutable versions of a two-column table."""
+"""An ordered store of byte keys and values: parts of a two-column table, newer ones over older ones.
+
+A write adds a part of its own; a null value marks a deleted key.  Many parts become one.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +10,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import Files
+from ..catalog import Files, FtsInfo
 from ..errors import EngineError
 
 MOST_KEY_BYTES = 1024
+MOST_PARTS = 16
+SCHEMA = "key binary, value binary"
+STORE = "store"
 
 
 class KeyValue:
@@ -19,15 +25,26 @@ class KeyValue:
         self.catalog = self.files.newest()
 
     def frame(self) -> DataFrame:
-        data = self.catalog.triggers.get("data")
-        return self.spark.read.schema("key binary, value binary").parquet(data) if data else self.spark.createDataFrame([], "key binary, value binary")
+        """Current pairs: of equal keys the newest part's."""
+        newer, rows = None, self.spark.createDataFrame([], SCHEMA)
+        for _, path in reversed(self.parts()):
+            part = self.spark.read.schema(SCHEMA).parquet(path)
+            rows = rows.unionByName(part if newer is None else part.join(newer, "key", "left_anti"))
+            newer = part.select("key") if newer is None else newer.unionByName(part.select("key"))
+        return rows.where("value is not null")
+
+    def parts(self) -> list:
+        return self.catalog.fts[STORE].data if STORE in self.catalog.fts else []
 
-    def _write(self, df: DataFrame) -> None:
+    def _write(self, part: DataFrame) -> None:
+        kept = self.parts()
+        if len(kept) >= MOST_PARTS:
+            kept, part = [], self.frame().join(part, "key", "left_anti").unionByName(part).where("value is not null")
         path = self.files.new("kv")
-        df.repartitionByRange("key").sortWithinPartitions("key").write.parquet(path)
+        part.repartitionByRange("key").sortWithinPartitions("key").write.parquet(path)
         self.catalog = self.catalog.copy()
         self.catalog.version += 1
-        self.catalog.triggers["data"] = path
+        self.catalog.fts[STORE] = FtsInfo(STORE, [], {}, [*kept, ["add", path]])
         self.files.commit(self.catalog)
 
     def put(self, pairs: list[tuple[bytes, bytes]]) -> None:
@@ -35,12 +52,10 @@ class KeyValue:
         for k, _ in pairs:
             if not k or k[:1] == b"\0" or len(k) > MOST_KEY_BYTES:
                 raise EngineError("keys are 1 to 1,024 bytes and do not begin with a zero byte")
-        new = self.spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in dict(pairs).items()], "key binary, value binary")
-        self._write(self.frame().join(new, "key", "left_anti").unionByName(new))
+        self._write(self.spark.createDataFrame([(bytearray(k), bytearray(v)) for k, v in dict(pairs).items()], SCHEMA))
 
     def delete(self, keys: list[bytes]) -> None:
-        gone = self.spark.createDataFrame([(bytearray(k),) for k in keys], "key binary")
-        self._write(self.frame().join(gone, "key", "left_anti"))
+        self._write(self.spark.createDataFrame([(bytearray(k), None) for k in set(keys)], SCHEMA))
 
     def get(self, key: bytes) -> bytes | None:
         got = self.frame().where(F.col("key") == F.lit(bytearray(key))).select("value").limit(1).collect()

@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 
 from larkspur import Engine
-from larkspur.errors import ConstraintFault, MatchFault, Unsupported
+from larkspur.errors import ConstraintFault, EngineError, MatchFault, Unsupported
 from larkspur.fts.index import FtsIndex
 from larkspur.fts.porter import stem
 from larkspur.fts.query import Node, Phrase, parse
@@ -122,3 +122,26 @@ def test_triggers_keep_an_index(spark, tmp_path):
 
 def test_stems():
     assert [stem(w) for w in "caresses ponies cats agreed plastered motoring conflated hopping filing happy relational rational vietnamization triplicate formalize revival adoption controll".split()] == "caress poni cat agre plaster motor conflat hop file happi relat ration vietnam triplic formal reviv adopt control".split()
+
+
+def test_options_and_reads(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    for bad in ("f USING fts5(a, prefix='2 x')", "f USING fts5(a, prefix='0')", "f USING fts5(a, detail=some)", "f USING fts5(prefix='2')", "f USING fts5(a, nope=1)", "f USING rtree(a)"):
+        with pytest.raises(EngineError):
+            e.run(f"CREATE VIRTUAL TABLE {bad}")
+    e.run("CREATE TABLE d (id INTEGER PRIMARY KEY, a TEXT, b TEXT)")
+    e.run("INSERT INTO d VALUES (1, 'one two two', 'three'), (2, NULL, 'two'), (3, '', '')")
+    e.run("CREATE VIRTUAL TABLE f USING fts5(a, b, content='d', content_rowid='id', prefix='2 3', columnsize=0)")
+    e.run("CREATE VIRTUAL TABLE g USING fts5(a, content='', contentless_delete=1, detail=none)")
+    e.run("INSERT INTO f(rowid, a, b) SELECT id, a, b FROM d")
+    e.run("INSERT INTO g(a) SELECT b FROM d ORDER BY id DESC")
+    assert [r[0] for r in e.prepare("SELECT rowid FROM g WHERE g MATCH 'two OR three' ORDER BY rowid").all()] == [2, 3]
+    with pytest.raises(MatchFault):
+        e.prepare("SELECT rowid FROM g WHERE g MATCH '\"two three\"'").all()
+    index = e.open_fts(e.catalog.fts["f"])
+    assert [index.document_stats(i) for i in (1, 2, 3, 4)] == [[3, 1], [0, 1], [0, 0], None]
+    assert sorted((r["docid"], r["col"], r["tf"], r["at"]) for r in index.term_postings("two").collect()) == [(1, 0, 2, [1, 2]), (2, 1, 1, [0])]
+    assert index.frequency("two") == 2 and index.stats() == (3, 5 / 3) and index.next_docid() == 4
+    assert index.matches(1, "two NOT b:two") and not index.matches(2, "a:two") and index.score(2, "one") is None
+    want = {r["docid"]: r["score"] for r in index.match("two", (2.0, 0.5)).collect()}
+    assert index.score(1, "two", (2.0, 0.5)) == want[1] and want[1] < want[2]

@@ -12,7 +12,7 @@ from larkspur.sources.sqlite import Derived, Lookup, Manifest, declared_type, im
 from larkspur.streaming.ingest import into_fts, into_table
 
 
-def test_key_value(spark, tmp_path):
+def test_key_value(spark, tmp_path, monkeypatch):
     kv = KeyValue(spark, f"file://{tmp_path}")
     kv.put([(b"b", b"2"), (b"a", b"1"), (b"\xff", b"9"), (b"b", b"3")])
     kv.delete([b"a"])
@@ -23,6 +23,11 @@ def test_key_value(spark, tmp_path):
     assert [k for k, _ in kv.scan(b"b", b"\xff")] == [b"b"] and next(kv.scan(reverse=True))[0] == b"\xff"
     with pytest.raises(EngineError):
         kv.put([(b"\0a", b"")])
+    monkeypatch.setattr("larkspur.sources.keyvalue.MOST_PARTS", 4)
+    for i in range(5):
+        kv.put([(b"n%d" % i, b"%d" % i), (b"b", b"%d" % i)])
+        kv.delete([b"n%d" % (i - 1)])
+    assert list(kv.scan(b"b", b"o")) == [(b"b", b"4"), (b"n4", b"4")] and len(kv.parts()) <= 4
 
 
 INTS = ("id", "is_deprecated", "is_beta", "is_release_notes", "url_depth", *[f"min_{p}_num" for p in PLATFORMS])
