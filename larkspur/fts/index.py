@@ -51,6 +51,9 @@ class FtsIndex:
 
     def tokens(self, docs: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
         """docs: docid and the indexed columns.  Postings and lengths; with a path, texts are split once, into a table there."""
+        cores = self.spark.sparkContext.defaultParallelism
+        if path and docs._jdf.rdd().getNumPartitions() < cores:  # a few files must not leave cores idle
+            docs = docs.repartition(cores)
         arrays = [self.tokenizer.split(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in self.columns]
         split = docs.select(F.col("docid").cast("long").alias("docid"), F.array(*arrays).alias("terms"))
         if path:
