@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from ._store import drop, local_table, n_words, stage
 
 GROUPS = 1024
-#: numpy draws from at most 10^9 blocks; with very many sources, each has fewer blocks.
-MOST_BLOCKS = 1 << 29
+#: numpy draws from less than 10^9 blocks, and a quota is up to twice a source's blocks; with very many sources, each has fewer.
+MOST_BLOCKS = 1 << 28
 ADDED = ("__size", "__source_size", "__target", "__copies", "__shards")
 
 
