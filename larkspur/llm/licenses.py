@@ -164,9 +164,8 @@ def scan(files: DataFrame, text: str = "text", path: str = "path", templates: di
     vectors = {n: {t: c * idf[t] for t, c in Counter(_terms(x)).items()} for n, x in templates.items()}
     needed = sorted(set().union(*[_needed(v, least) for v in vectors.values()]))
     some, own = _own(text, vectors, needed, headers, texts, idf, oov, least)
-    # few files have one of the terms; staged, they are compared once only
-    hit = stage(files.where(some).withColumn("__own", own), "licensed")
-    scored = hit.unionByName(files.where(~some).withColumn("__own", F.lit(None).cast(hit.schema["__own"].dataType)))
+    # few files have one of the terms; stored, texts are searched for terms once, and directories and rows are read without them
+    scored = stage(files.withColumn("__own", F.when(some, own)), "licensed")
     has = F.col("__own.license").isNotNull()
     directory = F.regexp_extract(F.col(path), r"^(.*)/[^/]*$", 1)
     scored = scored.withColumns({"__dir": F.when(F.col(path).isNotNull(), directory), "__is": has & F.coalesce((F.col("__own.words") >= share * F.col("__own.all")) | F.col(path).rlike(NAMES), F.lit(False))})
