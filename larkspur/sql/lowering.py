@@ -313,7 +313,7 @@ class Lowerer:
                 return _keyed(op, F.coalesce(j.number, C.fully_numeric(j.col)), other.col.cast("double"), exact)
             plain = other.cls == "TEXT" and other.const is NOT_CONSTANT and "NOCASE" not in (a.collation, b.collation)
             return _keyed(op, j.col, other.col, exact) if plain else exact
-        nocase = (a.collation if a.explicit else b.collation if b.explicit else a.collation or b.collation) == "NOCASE"
+        nocase = self.nocase(a, b)
         if affinity:
             a, b = self.convert(a, b), self.convert(b, a)
         if "JSON" in (a.cls, b.cls):
@@ -339,6 +339,20 @@ class Lowerer:
         known = F.lit(_by_sign(op, -1 if rank[a.cls] < rank[b.cls] else 1))
         return F.when(a.col.isNotNull() & b.col.isNotNull(), known)
 
+    def nocase(self, a: Typed, b: Typed) -> bool:
+        return (a.collation if a.explicit else b.collation if b.explicit else a.collation or b.collation) == "NOCASE"
+
+    def plain_pair(self, a: Typed, b: Typed) -> tuple[Column, Column] | None:
+        """Columns of one type that Spark compares as compare() does a and b, or None where it takes more than that."""
+        a, b = as_int(a), as_int(b)
+        nocase = self.nocase(a, b)
+        a, b = self.convert(a, b), self.convert(b, a)
+        kind = {"INT": "long", "REAL": "double", "TEXT": "string", "BLOB": "binary"}.get(a.cls)
+        if a.cls != b.cls or kind is None:
+            return None
+        x, y = (C.fold(a.col), C.fold(b.col)) if nocase and a.cls == "TEXT" else (a.col, b.col)
+        return x.cast(kind), y.cast(kind)
+
     def convert(self, t: Typed, other: Typed) -> Typed:
         """The affinity that the other side puts on this one."""
         numeric = ("INTEGER", "REAL")

@@ -12,7 +12,7 @@ import itertools
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import MatchFault, NameFault, SyntaxFault, Unsupported
@@ -59,7 +59,7 @@ class Selector:
 
     # --- sources
 
-    def sources(self, s: A.Select, outer: Scope | None) -> tuple[DataFrame, Scope, list[Column], list]:
+    def sources(self, s: A.Select, outer: Scope | None) -> tuple[DataFrame, Scope, list[Column], list, list]:
         if s.table is None:
             raise Unsupported("SELECT without FROM")
         refs = [(s.table, None, None)] + [(j.table, j.kind, j.on) for j in s.joins]
@@ -72,7 +72,7 @@ class Selector:
             matches |= found
             if found and kind == "left":
                 raise MatchFault("MATCH in the ON of a LEFT JOIN")
-        df, order = None, []
+        df, order, parts = None, [], []
         for (ref, kind, _), on in zip(refs, ons, strict=True):
             src = self.engine.source(ref.name)
             qualifier = ref.alias or ref.name
@@ -92,6 +92,7 @@ class Selector:
             scope.sources.append((qualifier, cols, [c[0] for c in src.columns]))
             if src.rowid:
                 order.append(F.col(f"`{names[src.rowid]}`"))
+            parts.append(part)
             if df is None:
                 df = part
             else:
@@ -101,7 +102,7 @@ class Selector:
             raise MatchFault(f"no full-text table named {next(iter(matches))} in FROM")
         if where is not None:
             df = df.where(Lowerer(scope).truth(where))
-        return df, scope, order, refs
+        return df, scope, order, refs, parts
 
     def take_matches(self, e: A.Expr | None, refs: list) -> tuple[A.Expr | None, dict]:
         """MATCH conjuncts, by table, and what is left of the condition."""
@@ -153,13 +154,13 @@ class Selector:
     # --- SELECT
 
     def select(self, s: A.Select, outer: Scope | None = None) -> Query:
-        df, scope, order, refs = self.sources(s, outer)
+        df, scope, order, refs, parts = self.sources(s, outer)
         items = self.expand(s.items, scope)
         self.bm25_slots(s, scope, refs)
         exprs = [i.expr for i in items] + [o.expr for o in s.order] + ([s.having] if s.having is not None else [])
         names = [i.alias or (i.expr.name if isinstance(i.expr, A.Column) else i.text) for i in items]
         if s.group or any(c.name in AGGREGATES for e in exprs for c in _walk(e)):
-            df, scope, order = self.aggregated(s, df, scope, order, exprs)
+            df, scope, order = self.counted(s, scope, refs, parts, exprs) or self.aggregated(s, df, scope, order, exprs)
         low = Lowerer(scope)
         outs = [low.lower(i.expr) for i in items]
         aliases = {i.alias.lower(): t for i, t in zip(items, outs, strict=True) if i.alias}
@@ -239,6 +240,55 @@ class Selector:
 
     # --- aggregates
 
+    def counted(self, s: A.Select, scope: Scope, refs: list, parts: list, exprs: list) -> tuple[DataFrame, Scope, list] | None:
+        """COUNT(*) of two tables joined by equalities and one inequality, without making the pairs.
+
+        Places (keys and value) of both tables are counted and sorted, and each row is met by
+        the running count of those below it.  None where the query is of another form.
+        """
+        nodes = [n for e in exprs for n in _nodes(e)]
+        counts = [n for n in nodes if isinstance(n, A.Call) and n.name in AGGREGATES]
+        if len(refs) != 2 or refs[1][1] != "inner" or s.group or s.order or scope.new_old or any(self.engine.source(r.name).fts is not None for r, _, _ in refs):
+            return None
+        if any(c.name != "COUNT" or c.args for c in counts) or any(isinstance(n, (A.Column, A.Subquery)) for n in nodes):
+            return None
+        low, keys, bounds, kept = Lowerer(scope), [], [], list(parts)
+        for e in [*_conjuncts(refs[1][2]), *_conjuncts(s.where)]:
+            if (at := _side(e, scope)) is not None:
+                kept[at] = kept[at].where(low.truth(e))
+                continue
+            if not isinstance(e, A.Binary) or e.op not in ("=", "<", "<=", ">", ">="):
+                return None
+            left, right = _side(e.left, scope), _side(e.right, scope)
+            if {left, right} != {0, 1} or (pair := low.plain_pair(low.lower(e.left), low.lower(e.right))) is None:
+                return None
+            by_side = pair if left == 0 else pair[::-1]
+            if e.op == "=":
+                keys.append(by_side)
+            else:
+                bounds.append((by_side, left if e.op[0] == "<" else right, e.op[1:] == "="))
+        if len(bounds) != 1:
+            return None
+        values, below, equal = bounds[0]
+        names = [f"k{j}" for j in range(len(keys))]
+        rows = []
+        for i, part in enumerate(kept):
+            place = [k[i].alias(n) for k, n in zip([*keys, values], [*names, "v"], strict=True)]
+            part = part.select(*place, F.lit(int(i == below)).cast("long").alias("lows"), F.lit(int(i != below)).cast("long").alias("highs"))
+            for n in (*names, "v"):
+                part = part.where(F.col(n).isNotNull())
+            rows.append(part)
+        places = rows[0].union(rows[1]).groupBy(*names, "v").agg(F.sum("lows").alias("lows"), F.sum("highs").alias("highs"))
+        # a key's places lie in as many runs as they fill, so a frequent key is not one task's
+        runs = places.repartitionByRange(*names, "v").withColumn("run", F.spark_partition_id())
+        inside = Window.partitionBy("run", *names).orderBy("v").rowsBetween(Window.unboundedPreceding, 0 if equal else -1)
+        met = F.col("highs") * F.coalesce(F.sum("lows").over(inside), F.lit(0))
+        sums = runs.withColumn("met", met).groupBy("run", *names).agg(*[F.sum(n).alias(n) for n in ("met", "lows", "highs")])
+        before = Window.partitionBy(*names).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+        met = F.col("met") + F.col("highs") * F.coalesce(F.sum("lows").over(before), F.lit(0))
+        out = sums.select(met.alias("met")).agg(F.coalesce(F.sum("met"), F.lit(0)).alias("a0"))
+        return out, Scope(params=self.params, slots={c: Typed(F.col("a0"), "INT") for c in counts}), []
+
     def aggregated(self, s: A.Select, df: DataFrame, scope: Scope, order: list, exprs: list) -> tuple[DataFrame, Scope, list]:
         low = Lowerer(scope)
         inner = Scope(params=self.params, slots=dict(scope.slots), new_old=self.new_old)
@@ -388,6 +438,33 @@ def _walk(e):
             yield from _walk(k)
 
 
+def _nodes(e: A.Expr):
+    """An expression and all inside it, outside of subqueries."""
+    yield e
+    for k in _kids(e):
+        yield from _nodes(k)
+
+
+def _conjuncts(e: A.Expr | None):
+    if isinstance(e, A.Binary) and e.op == "AND":
+        yield from _conjuncts(e.left)
+        yield from _conjuncts(e.right)
+    elif e is not None:
+        yield e
+
+
+def _side(e: A.Expr, scope: Scope) -> int | None:
+    """The number of the only source whose columns e has; None where it has subqueries, no columns or other ones."""
+    found = set()
+    for n in _nodes(e):
+        if isinstance(n, (A.Subquery, A.Match)):
+            return None
+        if isinstance(n, A.Column):
+            at = [i for i, (q, cols, _) in enumerate(scope.sources) if n.name.lower() in cols and (n.table is None or n.table.lower() == q.lower())]
+            found.update(at or [None])
+    return found.pop() if len(found) == 1 else None
+
+
 def _calls(s: A.Select):
     for e in [i.expr for i in s.items] + [s.where, s.having, *s.group] + [o.expr for o in s.order] + [j.on for j in s.joins]:
         if e is not None:

@@ -35,3 +35,9 @@ def test_aggregates_combine_before_the_exchange(spark):
 def test_no_python_in_plain_queries(spark):
     for name in ("range_scan", "like_nocase", "three_way_join", "json_extract", "substr_neg", "fts_bm25_topk"):
         assert "Python" not in P.text(Q.queries()[name](spark, SF)), name
+
+
+def test_count_of_pairs_makes_no_pairs(spark):
+    df = Q.queries()["self_join_count"](spark, SF)
+    assert "Join" not in P.text(df) and "rangepartitioning" in P.text(df)
+    assert "Join" in P.text(plan(spark, "SELECT COUNT(*) FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey"))
